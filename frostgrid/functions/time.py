@@ -15,6 +15,7 @@ UNIT_MICROS = {
     "day": 86_400_000_000,
     "week": 604_800_000_000,
 }
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
 def step_micros(step: str) -> int:
@@ -35,23 +36,21 @@ def floor_div(value: Column, width: Column | int) -> Column:
 def micros(df: DataFrame, name: str) -> Column:
     """A time column as microseconds since 1970.
 
-    A ``timestamp_ntz`` is read field by field: casting it would go through the
-    session time zone, where the hours of a clock change are not distinct.
+    For a ``timestamp_ntz`` the seconds come from ``unix_timestamp``, which reads
+    it as it stands but cuts toward 0. Only the fraction of the second is taken
+    from a cast through the session time zone, whose offsets are whole seconds.
     """
     column = F.col(name)
-    if isinstance(df.schema[name].dataType, T.TimestampNTZType):
-        return (
-            F.datediff(column, F.lit("1970-01-01").cast("date")).cast("bigint") * UNIT_MICROS["day"]
-            + F.hour(column).cast("bigint") * UNIT_MICROS["hour"]
-            + F.minute(column).cast("bigint") * UNIT_MICROS["minute"]
-            + (F.extract(F.lit("SECOND"), column) * F.lit(1_000_000)).cast("bigint")
-        )
-    return F.unix_micros(column)
+    if not isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        return F.unix_micros(column)
+    fraction = F.pmod(F.unix_micros(column.cast("timestamp")), F.lit(1_000_000))
+    cut_up = (column < F.expr(EPOCH)) & (fraction > 0)
+    seconds = F.unix_timestamp(column) - F.when(cut_up, 1).otherwise(0)
+    return seconds * 1_000_000 + fraction
 
 
 def from_micros(value: Column, dtype: T.DataType) -> Column:
     """Inverse of :func:`micros` for a column of type ``dtype``."""
     if isinstance(dtype, T.TimestampNTZType):
-        epoch = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
-        return epoch + value * F.expr("interval '0.000001' second")
+        return F.expr(EPOCH) + value * F.expr("interval '0.000001' second")
     return F.timestamp_micros(value)

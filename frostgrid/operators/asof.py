@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostgrid.functions.time import micros, step_micros
-from frostgrid.operators.hot import HOT_ROWS, hot_groups, only_hot, without_hot
-from frostgrid.operators.running import CELL_WIDTH, running
+from frostgrid.operators.hot import HOT_ROWS, hot_groups, join_groups, without_hot
+from frostgrid.operators.running import cell_width, running
 
 
 def as_of_join(
@@ -18,7 +18,6 @@ def as_of_join(
     tie_break: str | None = None,
     suffix: str = "_right",
     hot_rows: int = HOT_ROWS,
-    cell_width: int = CELL_WIDTH,
 ) -> DataFrame:
     """Each left row with the latest right row of its key at or before it.
 
@@ -53,15 +52,17 @@ def as_of_join(
         "__match", F.lit(None).cast(seen.schema["__match"].dataType)
     )
 
-    sizes = asked.select(*keys).unionByName(seen.select(*keys))
-    hot = hot_groups(sizes, keys, hot_rows)
+    instants = asked.select(*keys, "__us").unionByName(seen.select(*keys, "__us"))
+    hot = hot_groups(instants, keys, hot_rows, cell_width("__us", hot_rows).alias("__width"))
     if hot is None:
         matched = _stacked(asked, seen, keys)
     else:
         matched = _stacked(
             without_hot(asked, hot, keys), without_hot(seen, hot, keys), keys
         ).unionByName(
-            _looked_up(only_hot(asked, hot, keys), only_hot(seen, hot, keys), keys, cell_width)
+            _looked_up(
+                join_groups(asked, hot, keys, "inner"), join_groups(seen, hot, keys, "inner"), keys, hot_rows
+            )
         )
 
     match: Column = F.col("__match")
@@ -89,13 +90,13 @@ def _stacked(asked: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _looked_up(asked: DataFrame, seen: DataFrame, keys: list[str], cell_width: int) -> DataFrame:
-    instants = (
-        asked.select(*keys, "__us", F.lit(1).alias("__asks"))
-        .unionByName(seen.withColumn("__asks", F.lit(0)), allowMissingColumns=True)
-        .groupBy(*keys, "__us")
-        .agg(F.max("__asks").alias("__asks"), F.max_by("__match", "__tie").alias("__match"))
+def _looked_up(asked: DataFrame, seen: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    rows = asked.select(*keys, "__us", "__width", F.lit(1).alias("__asks")).unionByName(
+        seen.withColumn("__asks", F.lit(0)), allowMissingColumns=True
+    )
+    instants = rows.groupBy(*keys, "__us", "__width").agg(
+        F.max("__asks").alias("__asks"), F.max_by("__match", "__tie").alias("__match")
     )
-    answers = running(instants, keys, "__us", {"__match": "last"}, cell_width)
+    answers = running(instants, keys, "__us", {"__match": "last"}, "__width", rows, limit)
     answers = answers.where(F.col("__asks") == 1).drop("__asks")
-    return asked.join(answers, [*keys, "__us"], "left")
+    return asked.drop("__width").join(answers, [*keys, "__us"], "left")

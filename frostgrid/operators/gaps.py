@@ -24,75 +24,70 @@ def gap_fill(
 
     Each row emits the missing steps that follow it, so only rows that exist
     are shuffled, once. Keys are cut into chunks of ``chunk_steps`` steps: no
-    task holds more rows of one key than that. Gaps that reach across chunks
-    are filled from a table with one row per key and chunk, in pieces.
+    task sorts more rows of one key than that. Gaps that reach across chunks
+    are filled from a table with one row per key and chunk, made from the same
+    shuffled rows, and are emitted in pieces that are spread anew.
     """
     if method not in ("null", "last"):
         raise ValueError(f"unknown method: {method!r}")
+    carry = method == "last"
     width = step_micros(step)
     values = [c for c in df.columns if c not in (*keys, ts)]
-    rows = df.where(F.col(ts).isNotNull()).select(
-        *keys, floor_div(micros(df, ts), width).alias("__step"), *values
-    ).withColumn("__chunk", floor_div(F.col("__step"), chunk_steps))
+    step_col, next_col, at = F.col("__step"), F.col("__next"), F.col("__at")
 
+    rows = (
+        df.where(F.col(ts).isNotNull())
+        .select(*keys, floor_div(micros(df, ts), width).alias("__step"), *values)
+        .withColumn("__chunk", floor_div(step_col, chunk_steps))
+        .repartition(*keys, "__chunk")
+    )
     chunks = rows.groupBy(*keys, "__chunk").agg(
-        F.min("__step").alias("__first"),
-        F.max("__step").alias("__last"),
-        *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("__step"))).alias(v) for v in values],
+        F.min(step_col).alias("__first"),
+        F.max(step_col).alias("__step"),
+        *[
+            F.max_by(v, F.when(F.col(v).isNotNull(), step_col) if carry else step_col).alias(v)
+            for v in values
+        ],
     )
+    in_chunk = Window.partitionBy(*keys, "__chunk").orderBy(step_col.asc_nulls_first())
     by_chunk = Window.partitionBy(*keys).orderBy("__chunk")
-    in_chunk = Window.partitionBy(*keys, "__chunk").orderBy(F.col("__step").asc_nulls_first())
 
-    if method == "last":
+    def kept(v: str, window, upto: int = 0):
+        if not carry:
+            return F.col(v)
+        return F.last(v, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, upto)).alias(v)
+
+    def emitted(v: str):
+        return F.col(v) if carry else F.when(at == step_col, F.col(v)).alias(v)
+
+    if carry:
         # A row without a step opens each chunk with the values known before it.
-        before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.unionByName(
-            chunks.select(
-                *keys, "__chunk", F.lit(None).cast("bigint").alias("__step"),
-                *[F.last(v, ignorenulls=True).over(before).alias(v) for v in values],
-            )
+        opening = chunks.select(
+            *keys, F.lit(None).cast("bigint").alias("__step"), "__chunk", *[kept(v, by_chunk, -1) for v in values]
         )
-        so_far = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
-        upto = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
-        row_values = [F.last(v, ignorenulls=True).over(so_far).alias(v) for v in values]
-        added = lambda v: F.col(v)
-        bridge_values = [F.last(v, ignorenulls=True).over(upto).alias(v) for v in values]
-    else:
-        row_values = [F.col(v) for v in values]
-        added = lambda v: F.when(F.col("__at") == F.col("__step"), F.col(v)).alias(v)
-        bridge_values = [F.lit(None).cast(df.schema[v].dataType).alias(v) for v in values]
+        rows = rows.unionByName(opening.repartition(*keys, "__chunk"))
 
     within = (
-        rows.select(*keys, "__step", F.lead("__step").over(in_chunk).alias("__next"), *row_values)
-        .where(F.col("__step").isNotNull())
-        .select(
-            *keys, "__step", *values,
-            F.explode(F.sequence(
-                "__step", F.greatest(F.col("__step"), F.coalesce(F.col("__next") - 1, F.col("__step")))
-            )).alias("__at"),
+        rows.select(
+            *keys, step_col, F.lead(step_col).over(in_chunk).alias("__next"), *[kept(v, in_chunk) for v in values]
         )
-        .select(*keys, "__at", *[added(v) for v in values])
+        .where(step_col.isNotNull())
+        .withColumn("__upto", F.greatest(step_col, F.coalesce(next_col - 1, step_col)))
+        .withColumn("__at", F.explode(F.sequence("__step", "__upto")))
     )
-    across = (
+    pieces = (
         chunks.select(
-            *keys, "__last", F.lead("__first").over(by_chunk).alias("__next"), *bridge_values
-        )
-        .where(F.col("__next") > F.col("__last") + 1)
-        .select(
-            *keys, "__next", *values,
-            F.explode(F.sequence(
-                F.col("__last") + 1, F.col("__next") - 1, F.lit(chunk_steps).cast("bigint")
-            )).alias("__from"),
+            *keys, step_col, F.lead("__first").over(by_chunk).alias("__next"), *[kept(v, by_chunk) for v in values]
         )
+        .where(next_col > step_col + 1)
+        .withColumn("__from", F.explode(F.sequence(step_col + 1, next_col - 1, F.lit(chunk_steps).cast("bigint"))))
         .repartition(*keys, "__from")
-        .select(
-            *keys,
-            F.explode(F.sequence(
-                "__from", F.least(F.col("__from") + chunk_steps, F.col("__next")) - 1
-            )).alias("__at"),
-            *values,
-        )
     )
-    filled = within.unionByName(across)
-    time = from_micros(F.col("__at") * width, df.schema[ts].dataType).alias(ts)
-    return filled.select(*[time if c == ts else c for c in df.columns])
+    across = pieces.withColumn(
+        "__at", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + chunk_steps, next_col) - 1))
+    )
+    grid = [*keys, at, *[emitted(v) for v in values]]
+    time = from_micros(at * width, df.schema[ts].dataType).alias(ts)
+    return within.select(*grid).unionByName(across.select(*grid)).select(
+        *[time if c == ts else c for c in df.columns]
+    )

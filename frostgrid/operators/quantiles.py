@@ -29,7 +29,7 @@ def quantile_profile(
     ``1/accuracy`` of the group, from a mergeable sketch of fixed size.
 
     Spark's exact ``percentile`` keeps the distinct values of a group in one
-    task's memory. Groups of more than ``hot_rows`` rows are therefore solved
+    task's memory. Groups of more than ``hot_rows`` values are therefore solved
     by selection: a sketch brackets each quantile, one pass counts the values
     below the bracket, and only the values inside are sorted.
     """
@@ -40,11 +40,11 @@ def quantile_profile(
     if not keys:
         one_group = df.select(F.lit(1).alias("__all"), value)
         return quantile_profile(one_group, ["__all"], value, probs, hot_rows=hot_rows).drop("__all")
-    hot = hot_groups(df, keys, hot_rows)
+    hot = hot_groups(df.where(F.col(value).isNotNull()), keys, hot_rows)
     if hot is None:
         return _spread(_by_percentile(df, keys, value, probs), keys, names)
     return _spread(_by_percentile(without_hot(df, hot, keys), keys, value, probs), keys, names).unionByName(
-        _by_selection(only_hot(df, hot, keys), keys, value, probs, names)
+        _by_selection(only_hot(df, hot, keys), keys, value, probs, names, hot_rows)
     )
 
 
@@ -56,8 +56,11 @@ def _by_percentile(df: DataFrame, keys: list[str], value: str, probs: list[float
     return df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("__q"))
 
 
-def _by_selection(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str]) -> DataFrame:
-    margin = 4 / SKETCH_ACCURACY
+def _by_selection(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], least_rows: int
+) -> DataFrame:
+    # The error of the sketch, and three rows for ranks that are rounded.
+    margin = 4 / SKETCH_ACCURACY + 3 / least_rows
     edges = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     brackets = df.groupBy(*keys).agg(
         F.count(value).alias("__n"),
@@ -65,35 +68,34 @@ def _by_selection(df: DataFrame, keys: list[str], value: str, probs: list[float]
     )
     rows = join_groups(df.where(F.col(value).isNotNull()).select(*keys, value), brackets, keys, "inner")
 
-    # One value per quantile: the value itself inside the bracket, null below it.
-    def place(i: int) -> Column:
-        low, high = F.col("__edges")[2 * i], F.col("__edges")[2 * i + 1]
-        inside = F.when(F.col(value) >= low, F.col(value))
-        return F.when(F.col(value) <= high, F.struct(F.lit(i).alias("__i"), inside.alias("__v")))
-
-    places = F.filter(F.array(*[place(i) for i in range(len(probs))]), lambda x: x.isNotNull())
-    counts = (
-        rows.select(*keys, "__n", F.explode(places).alias("__place"))
-        .select(*keys, "__n", "__place.*")
-        .groupBy(*keys, "__n", "__i", "__v")
-        .count()
-    )
+    # Values inside a bracket are counted one by one, those between brackets together,
+    # at the edge below them and after the values equal to that edge.
+    v, edge = F.col(value), [F.col("__edges")[i] for i in range(len(edges))]
+    inside = F.lit(False)
+    for low, high in zip(edge[::2], edge[1::2]):
+        inside = inside | v.between(low, high)
+    edge_below = F.greatest(*[F.when(e < v, e) for e in edge])
+    counts = rows.groupBy(
+        *keys,
+        "__n",
+        F.when(inside, v).otherwise(edge_below).alias("__v"),
+        (~inside).alias("__between"),
+    ).count()
     by_value = (
-        Window.partitionBy(*keys, "__i")
-        .orderBy(F.col("__v").asc_nulls_first())
+        Window.partitionBy(*keys)
+        .orderBy(F.col("__v").asc_nulls_first(), "__between")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     ranked = counts.withColumn("__upto", F.sum("count").over(by_value))
-    prob = F.element_at(F.array(*map(F.lit, map(float, probs))), F.col("__i") + 1)
-    rank = prob * (F.col("__n") - 1)
-    ranked = ranked.withColumn("__rank", rank)
-    below, above = F.floor("__rank"), F.ceil("__rank")
-    found = ranked.groupBy(*keys, "__i").agg(
-        F.max(F.col("__rank") - below).alias("__part"),
-        F.min(F.when(F.col("__upto") > below, F.col("__v"))).alias("__low"),
-        F.min(F.when(F.col("__upto") > above, F.col("__v"))).alias("__high"),
-    )
-    quantile = F.col("__low") + F.col("__part") * (F.col("__high") - F.col("__low"))
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__i") == i, quantile)).cast("double").alias(n) for i, n in enumerate(names)]
-    )
+
+    def at_rank(rank: Column) -> Column:
+        first = F.min(F.when(F.col("__upto") > rank, F.struct("__v", "__between")))
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+        return F.when(first["__between"], missed).otherwise(first["__v"].cast("double"))
+
+    def quantile(p: float) -> Column:
+        rank = F.lit(float(p)) * (F.col("__n") - 1)
+        low, high = at_rank(F.floor(rank)), at_rank(F.ceil(rank))
+        return low + F.max(rank - F.floor(rank)) * (high - low)
+
+    return ranked.groupBy(*keys).agg(*[quantile(p).alias(name) for p, name in zip(probs, names)])

@@ -4,8 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostgrid.functions.time import floor_div, micros, step_micros
-from frostgrid.operators.hot import HOT_ROWS, hot_groups, join_groups, only_hot, without_hot
-from frostgrid.operators.running import CELL_WIDTH, running
+from frostgrid.operators.hot import HOT_ROWS, hot_groups, join_groups, without_hot
+from frostgrid.operators.running import cell_width, running
 
 
 def rolling_zscore(
@@ -16,7 +16,6 @@ def rolling_zscore(
     lookback: str,
     name: str = "zscore",
     hot_rows: int = HOT_ROWS,
-    cell_width: int = CELL_WIDTH,
 ) -> DataFrame:
     """``df`` with the z-score of ``value`` against the trailing ``lookback``.
 
@@ -46,12 +45,14 @@ def rolling_zscore(
         *[F.when(~F.col("__copy.__tail"), F.col(c)).alias(c) for c in others],
     )
 
-    hot = hot_groups(rows, group, hot_rows, F.avg(value).alias("__center"))
+    hot = hot_groups(
+        rows, group, hot_rows, F.avg(value).alias("__center"), cell_width("__at", hot_rows).alias("__width")
+    )
     if hot is None:
         scored = _by_windows(rows, group, value, name)
     else:
         scored = _by_windows(without_hot(rows, hot, group), group, value, name).unionByName(
-            _by_cells(only_hot(rows, hot, group), hot, group, value, name, cell_width)
+            _by_cells(join_groups(rows, hot, group, "inner"), group, value, name, hot_rows)
         )
     untimed = df.where(F.col(ts).isNull()).withColumn(name, F.lit(None).cast("double"))
     columns = [c for c in df.columns if c != name] + [name]
@@ -103,13 +104,9 @@ def _by_windows(rows: DataFrame, group: list[str], value: str, name: str) -> Dat
     return merged.withColumn(name, score).drop("__h", "__t", "__v", "__tail", "__at")
 
 
-def _by_cells(
-    rows: DataFrame, hot: DataFrame, group: list[str], value: str, name: str, cell_width: int
-) -> DataFrame:
-    v = F.col(value).cast("double")
-    centered = join_groups(rows, hot.select(*group, "__center"), group, "left").withColumn(
-        "__d", v - F.col("__center")
-    )
+def _by_cells(rows: DataFrame, group: list[str], value: str, name: str, limit: int) -> DataFrame:
+    """As :func:`_by_windows`, with the sums taken of differences from the group's mean."""
+    centered = rows.withColumn("__d", F.col(value).cast("double") - F.col("__center"))
     stats = {"__n": "sum", "__s": "sum", "__q": "sum", "__low": "min", "__high": "max"}
 
     def of_side(tail: bool) -> Column:
@@ -122,19 +119,29 @@ def _by_cells(
             F.max(d).alias("__high"),
         )
 
-    # One row per instant and side. Tails are run over from the end, hence the sign.
-    instants = centered.groupBy(*group, "__at").agg(
-        of_side(False).alias("__head_stats"), of_side(True).alias("__tail_stats")
+    # One row per instant and side. Tails are run over from the end, hence the sign,
+    # and looked up at the instants of heads, so those are on both sides.
+    instants = centered.groupBy(*group, "__width", "__at").agg(
+        F.bool_or(~F.col("__tail")).alias("__asks"),
+        of_side(False).alias("__head_stats"),
+        of_side(True).alias("__tail_stats"),
     )
     sides = F.array(
-        F.struct(F.lit(1).alias("__sign"), F.col("__head_stats.*")),
+        F.when(F.col("__asks"), F.struct(F.lit(1).alias("__sign"), F.col("__head_stats.*"))),
         F.struct(F.lit(-1).alias("__sign"), F.col("__tail_stats.*")),
     )
-    points = instants.select(*group, "__at", F.explode(sides).alias("__side")).select(
-        *group, "__side.*", (F.col("__at") * F.col("__side.__sign")).alias("__pos")
+    positions = [*group, "__width", (F.col("__at") * F.col("__side.__sign")).alias("__pos")]
+    points = (
+        instants.withColumn("__side", F.explode(sides))
+        .where(F.col("__side").isNotNull())
+        .select("__asks", "__side.*", *positions)
     )
+    raw = centered.withColumn(
+        "__side", F.struct(F.when(F.col("__tail"), -1).otherwise(1).alias("__sign"))
+    ).select("__side.*", *positions)
     frames = (
-        running(points, [*group, "__sign"], "__pos", stats, cell_width)
+        running(points, [*group, "__sign"], "__pos", stats, "__width", raw, limit)
+        .where("__asks")
         .groupBy(*group, (F.col("__pos") * F.col("__sign")).alias("__at"))
         .agg(
             *[F.sum(c).alias(c) for c in ("__n", "__s", "__q")],
@@ -146,4 +153,4 @@ def _by_cells(
     n, s, q = F.col("__n"), F.col("__s"), F.col("__q")
     mean = F.try_divide(s, n)
     score = _zscore(F.col("__d"), n, mean, q - s * mean, F.col("__low"), F.col("__high"))
-    return joined.withColumn(name, score).drop(*stats, "__center", "__d", "__tail", "__at")
+    return joined.withColumn(name, score).drop(*stats, "__center", "__width", "__d", "__tail", "__at")

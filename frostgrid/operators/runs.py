@@ -25,7 +25,8 @@ def merge_runs(
     and none crosses a multiple of ``chunk_width``. Runs are first formed
     inside chunks of that width, which bounds what one task sorts. Only a run
     within ``max_gap`` of its chunk's border can go on next door: at most two
-    per key and chunk, so the second pass over those is small.
+    per key and chunk. A second pass reads those of a key together; the other
+    runs stay with their chunk and pass through it unchanged.
 
     ``reduced`` says whether the segments already hold the partial states of
     ``aggs`` or the raw columns. The result holds partial states.
@@ -35,9 +36,8 @@ def merge_runs(
     local = _merge_sorted(chunked, [*keys, "__chunk"], start, end, max_gap, states)
     opens = F.col("__chunk") * chunk_width
     at_border = (F.col(start) - opens + 1 <= max_gap) | (opens + chunk_width - F.col(end) <= max_gap)
-    inner = local.where(~at_border).drop("__chunk")
-    border = local.where(at_border).drop("__chunk")
-    return inner.unionByName(_merge_sorted(border, keys, start, end, max_gap, merge_columns(aggs)))
+    placed = local.withColumn("__chunk", F.when(~at_border, F.col("__chunk")))
+    return _merge_sorted(placed, [*keys, "__chunk"], start, end, max_gap, merge_columns(aggs)).drop("__chunk")
 
 
 def _merge_sorted(
