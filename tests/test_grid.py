@@ -1,0 +1,128 @@
+"""Resampling, gap filling and spells against plain Python."""
+
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from frostgrid.functions import count, high, low, mean, total
+from frostgrid.operators import gap_fill, resample, threshold_spells
+from tests.frames import at, frame, ordered, rows_of
+
+READINGS = "key string, ts timestamp_ntz, value double"
+AGGS = {"n": count(), "s": total("value"), "m": mean("value"), "lo": low("value"), "hi": high("value")}
+
+
+def test_resample_buckets_are_closed_on_the_left(spark):
+    rows = [
+        ("a", at(0), 1.0), ("a", at(3599.999999), 3.0), ("a", at(3600), 5.0),
+        ("a", at(-0.000001), 7.0), ("b", at(10), None), (None, at(20), 2.0), ("a", None, 9.0),
+    ]
+    got = resample(frame(spark, READINGS, rows), "ts", ["key"], "1 hour", AGGS)
+    assert rows_of(got) == ordered([
+        ("a", at(0), 2, 4.0, 2.0, 1.0, 3.0),
+        ("a", at(3600), 1, 5.0, 5.0, 5.0, 5.0),
+        ("a", at(-3600), 1, 7.0, 7.0, 7.0, 7.0),
+        ("b", at(0), 1, None, None, None, None),
+        (None, at(0), 1, 2.0, 2.0, 2.0, 2.0),
+    ])
+
+
+def test_resample_by_calendar(spark):
+    rows = [
+        ("a", datetime(2024, 2, 29, 23, 59, 59), 1.0), ("a", datetime(2024, 3, 1), 2.0),
+        ("a", datetime(2024, 2, 1), 4.0), ("a", None, 9.0),
+    ]
+    got = resample(frame(spark, READINGS, rows), "ts", ["key"], "month", {"s": total("value")})
+    assert rows_of(got) == ordered([("a", datetime(2024, 2, 1), 5.0), ("a", datetime(2024, 3, 1), 2.0)])
+    assert got.schema["ts"].dataType.simpleString() == "timestamp_ntz"
+
+
+def test_resample_without_rows_or_keys(spark):
+    empty = frame(spark, READINGS, [])
+    assert resample(empty, "ts", ["key"], "1 hour", AGGS).count() == 0
+    got = resample(frame(spark, READINGS, [("a", at(5), 1.0)]), "ts", [], "1 hour", {"n": count()})
+    assert rows_of(got) == [(at(0), 1)]
+
+
+def random_grid(seed, n=60):
+    rng = random.Random(seed)
+    cells = {(rng.choice(["a", "b", None]), rng.randrange(-40, 80)) for _ in range(n)}
+    return [
+        (key, at(step * 60), rng.choice([None, 1.0, 2.0, 3.0]), rng.choice([None, "x", "y"]))
+        for key, step in cells
+    ]
+
+
+def filled(rows, method):
+    out = []
+    for key in {r[0] for r in rows}:
+        known = {r[1]: r[2:] for r in rows if r[0] == key}
+        time, last = min(known), (None, None)
+        while time <= max(known):
+            here = known.get(time, (None, None))
+            last = tuple(h if h is not None else b for h, b in zip(here, last))
+            out.append((key, time, *(here if method == "null" else last)))
+            time = time + (at(60) - at(0))
+    return out
+
+
+@pytest.mark.parametrize("method", ["null", "last"])
+@pytest.mark.parametrize("chunk_steps", [1, 7, 65_536])
+def test_gap_fill(spark, method, chunk_steps):
+    for seed in (1, 2):
+        rows = random_grid(seed)
+        df = frame(spark, "key string, ts timestamp_ntz, value double, note string", rows)
+        got = gap_fill(df, "ts", ["key"], "1 minute", method, chunk_steps)
+        assert got.columns == df.columns
+        assert rows_of(got) == ordered(filled(rows, method))
+
+
+def test_gap_fill_of_one_row_and_none(spark):
+    schema = "key string, ts timestamp_ntz, value double"
+    assert rows_of(gap_fill(frame(spark, schema, [("a", at(60), 1.0)]), "ts", ["key"], "1 minute")) == [
+        ("a", at(60), 1.0)
+    ]
+    assert gap_fill(frame(spark, schema, []), "ts", ["key"], "1 minute", "last").count() == 0
+    with pytest.raises(ValueError):
+        gap_fill(frame(spark, schema, []), "ts", ["key"], "1 minute", "linear")
+
+
+def test_gap_fill_of_a_gap_over_many_chunks(spark):
+    df = frame(spark, "key string, ts timestamp_ntz, value double", [("a", at(0), 1.0), ("a", at(200_000), 2.0)])
+    got = gap_fill(df, "ts", ["key"], "1 second", "last", chunk_steps=1_000)
+    assert got.count() == 200_001
+    assert got.where("value = 1.0").count() == 200_000
+
+
+def spells_of(rows, limit, min_len):
+    out = []
+    for key in {r[0] for r in rows}:
+        held = sorted((r[1], r[2]) for r in rows if r[0] == key and r[2] is not None and r[2] >= limit)
+        run = []
+        for step in held + [(None, None)]:
+            if run and (step[0] is None or step[0] - run[-1][0] > at(60) - at(0)):
+                if len(run) >= min_len:
+                    values = [v for _, v in run]
+                    out.append((key, run[0][0], run[-1][0], len(run), max(values), sum(values) / len(values)))
+                run = []
+            run.append(step)
+    return out
+
+
+@pytest.mark.parametrize("chunk_steps", [1, 2, 5, 65_536])
+@pytest.mark.parametrize("min_len", [1, 3])
+def test_threshold_spells(spark, chunk_steps, min_len):
+    rows = random_grid(5, 200)
+    got = threshold_spells(
+        frame(spark, "key string, ts timestamp_ntz, value double, note string", rows), "ts", ["key"],
+        F.col("value") >= 2.0, "1 minute", min_len, {"peak": high("value"), "m": mean("value")}, chunk_steps,
+    )
+    assert rows_of(got) == ordered(spells_of(rows, 2.0, min_len))
+
+
+def test_a_missing_step_ends_a_spell(spark):
+    rows = [("a", at(0), 5.0), ("a", at(60), 5.0), ("a", at(180), 5.0), ("b", at(60), None)]
+    got = threshold_spells(frame(spark, READINGS, rows), "ts", ["key"], F.col("value") > 1, "1 minute")
+    assert rows_of(got) == ordered([("a", at(0), at(60), 2), ("a", at(180), at(180), 1)])
