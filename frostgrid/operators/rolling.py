@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from frostgrid.functions.time import floor_div, micros, step_micros
 from frostgrid.operators.hot import HOT_ROWS, hot_groups, join_groups, without_hot
@@ -45,112 +46,126 @@ def rolling_zscore(
         *[F.when(~F.col("__copy.__tail"), F.col(c)).alias(c) for c in others],
     )
 
+    is_head, known = ~F.col("__tail"), F.col(value).isNotNull()
     hot = hot_groups(
-        rows, group, hot_rows, F.avg(value).alias("__center"), cell_width("__at", hot_rows).alias("__width")
+        rows, group, hot_rows,
+        F.min_by(value, F.when(is_head & known, F.col("__at"))).alias("__first"),
+        F.max_by(value, F.when(~is_head & known, F.col("__at"))).alias("__last"),
+        cell_width("__at", hot_rows).alias("__width"),
     )
-    if hot is None:
-        scored = _by_windows(rows, group, value, name)
-    else:
-        scored = _by_windows(without_hot(rows, hot, group), group, value, name).unionByName(
-            _by_cells(join_groups(rows, hot, group, "inner"), group, value, name, hot_rows)
-        )
-    untimed = df.where(F.col(ts).isNull()).withColumn(name, F.lit(None).cast("double"))
     columns = [c for c in df.columns if c != name] + [name]
-    return scored.select(*columns).unionByName(untimed.select(*columns))
+    cold = rows if hot is None else without_hot(rows, hot, group)
+    scored = _by_windows(cold, group, value, name).select(*columns)
+    if hot is not None:
+        pieces = join_groups(rows, hot, group, "inner")
+        scored = scored.unionByName(_by_cells(pieces, group, value, name, hot_rows).select(*columns))
+    untimed = df.where(F.col(ts).isNull()).withColumn(name, F.lit(None).cast("double"))
+    return scored.unionByName(untimed.select(*columns))
 
 
-def _zscore(value: Column, n: Column, mean: Column, squares: Column, low: Column, high: Column) -> Column:
-    """``squares`` is the sum of squared differences from ``mean``.
+def _zscore(value: Column, head: Column, tail: Column) -> Column:
+    """The score against two sets, each given as n, mean, squares, low and high.
 
-    That the deviation is 0 is told from the extremes; a computed sum of
-    squares may miss 0 by a rounding error.
+    ``squares`` is the sum of squared differences from the mean; two of them
+    are merged without subtracting large numbers. That the deviation is 0 is
+    told from the extremes; a computed sum may miss 0 by a rounding error.
     """
-    deviation = F.sqrt(F.greatest(squares, F.lit(0.0)) / (n - 1))
-    return F.when((n > 1) & (low < high), F.try_divide(value - mean, deviation))
+    n = head["n"] + tail["n"]
+    apart = head["mean"] - tail["mean"]
+    mean = F.try_divide(head["n"] * head["mean"] + tail["n"] * tail["mean"], n)
+    between = F.try_divide(apart * apart * head["n"] * tail["n"], n)
+    deviation = F.sqrt((head["squares"] + tail["squares"] + between) / (n - 1))
+    varied = F.least(head["low"], tail["low"]) < F.greatest(head["high"], tail["high"])
+    return F.when((n > 1) & varied, F.try_divide(value - mean, deviation))
+
+
+def _or_zero(column: Column) -> Column:
+    return F.coalesce(column, F.lit(0.0))
 
 
 def _by_windows(rows: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     at = F.col("__at")
-    head = Window.partitionBy(*group).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = Window.partitionBy(*group).orderBy(at.desc()).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    in_time = Window.partitionBy(*group).orderBy(at)
+    back = Window.partitionBy(*group).orderBy(at.desc())
 
-    def stats(v: Column, w: Window) -> Column:
+    def stats(v: Column, window: WindowSpec) -> Column:
+        w = window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        n = F.count(v).over(w)
         return F.struct(
-            F.count(v).over(w).alias("n"),
-            F.coalesce(F.avg(v).over(w), F.lit(0.0)).alias("mean"),
-            F.coalesce(F.var_pop(v).over(w), F.lit(0.0)).alias("var"),
+            n.alias("n"),
+            _or_zero(F.avg(v).over(w)).alias("mean"),
+            _or_zero(F.var_pop(v).over(w) * n).alias("squares"),
             F.min(v).over(w).alias("low"),
             F.max(v).over(w).alias("high"),
         )
 
-    merged = (
+    v, tail = F.col("__v"), F.col("__tail")
+    return (
         rows.withColumn("__v", F.col(value).cast("double"))
-        .withColumn("__t", stats(F.when(F.col("__tail"), F.col("__v")), tail))
-        .withColumn("__h", stats(F.when(~F.col("__tail"), F.col("__v")), head))
-        .where(~F.col("__tail"))
-    )
-    h, t = F.col("__h"), F.col("__t")
-    n = h["n"] + t["n"]
-    apart = h["mean"] - t["mean"]
-    mean = F.try_divide(h["n"] * h["mean"] + t["n"] * t["mean"], n)
-    squares = (
-        h["n"] * h["var"] + t["n"] * t["var"] + F.try_divide(apart * apart * h["n"] * t["n"], n)
+        .withColumn("__tail_stats", stats(F.when(tail, v), back))
+        .withColumn("__head_stats", stats(F.when(~tail, v), in_time))
+        .where(~tail)
+        .withColumn(name, _zscore(v, F.col("__head_stats"), F.col("__tail_stats")))
     )
-    score = _zscore(
-        F.col("__v"), n, mean, squares, F.least(h["low"], t["low"]), F.greatest(h["high"], t["high"])
-    )
-    return merged.withColumn(name, score).drop("__h", "__t", "__v", "__tail", "__at")
 
 
 def _by_cells(rows: DataFrame, group: list[str], value: str, name: str, limit: int) -> DataFrame:
-    """As :func:`_by_windows`, with the sums taken of differences from the group's mean."""
-    centered = rows.withColumn("__d", F.col(value).cast("double") - F.col("__center"))
-    stats = {"__n": "sum", "__s": "sum", "__q": "sum", "__low": "min", "__high": "max"}
+    """As :func:`_by_windows`, from running sums over one row per instant.
 
-    def of_side(tail: bool) -> Column:
-        d = F.when(F.col("__tail") == tail, F.col("__d"))
+    Sums are taken of differences from a value that is in every head (the
+    first one) or every tail (the last one). Differences from a value outside
+    the frame, such as the mean of the piece, could drown those inside it.
+    """
+    tail, at = F.col("__tail"), F.col("__at")
+    rows = rows.withColumn("__v", F.col(value).cast("double")).withColumn(
+        "__d", F.col("__v") - F.when(tail, F.col("__last")).otherwise(F.col("__first"))
+    )
+    sums = {"__n": "sum", "__s": "sum", "__q": "sum", "__low": "min", "__high": "max"}
+
+    def of_side(on_side: Column) -> Column:
+        v, d = F.when(on_side, F.col("__v")), F.when(on_side, F.col("__d"))
         return F.struct(
-            F.count(d).alias("__n"),
-            F.sum(d).alias("__s"),
-            F.sum(d * d).alias("__q"),
-            F.min(d).alias("__low"),
-            F.max(d).alias("__high"),
+            F.count(v).alias("__n"), F.sum(d).alias("__s"), F.sum(d * d).alias("__q"),
+            F.min(v).alias("__low"), F.max(v).alias("__high"),
         )
 
-    # One row per instant and side. Tails are run over from the end, hence the sign,
-    # and looked up at the instants of heads, so those are on both sides.
-    instants = centered.groupBy(*group, "__width", "__at").agg(
-        F.bool_or(~F.col("__tail")).alias("__asks"),
-        of_side(False).alias("__head_stats"),
-        of_side(True).alias("__tail_stats"),
+    # Tails are run over from the end, hence the sign, and looked up at the instants
+    # of heads, so those are on both sides.
+    extent = [*group, "__width", "__first", "__last"]
+    instants = rows.groupBy(*extent, at).agg(
+        F.bool_or(~tail).alias("__asks"), of_side(~tail).alias("__head_sums"), of_side(tail).alias("__tail_sums")
     )
     sides = F.array(
-        F.when(F.col("__asks"), F.struct(F.lit(1).alias("__sign"), F.col("__head_stats.*"))),
-        F.struct(F.lit(-1).alias("__sign"), F.col("__tail_stats.*")),
+        F.when(F.col("__asks"), F.struct(F.lit(1).alias("__sign"), F.col("__head_sums.*"))),
+        F.struct(F.lit(-1).alias("__sign"), F.col("__tail_sums.*")),
     )
-    positions = [*group, "__width", (F.col("__at") * F.col("__side.__sign")).alias("__pos")]
+    position = (at * F.col("__side.__sign")).alias("__pos")
     points = (
         instants.withColumn("__side", F.explode(sides))
         .where(F.col("__side").isNotNull())
-        .select("__asks", "__side.*", *positions)
+        .select("__asks", "__side.*", *extent, position)
     )
-    raw = centered.withColumn(
-        "__side", F.struct(F.when(F.col("__tail"), -1).otherwise(1).alias("__sign"))
-    ).select("__side.*", *positions)
+    sign = F.when(tail, -1).otherwise(1).alias("__sign")
+    raw = rows.withColumn("__side", F.struct(sign)).select("__side.*", *extent, position)
+
+    def stats(side: int, base: str) -> Column:
+        n, s, q, low, high = (F.max(F.when(F.col("__sign") == side, F.col(c))) for c in sums)
+        return F.struct(
+            n.alias("n"),
+            _or_zero(F.col(base) + F.try_divide(s, n)).alias("mean"),
+            F.greatest(_or_zero(q - F.try_divide(s * s, n)), F.lit(0.0)).alias("squares"),
+            low.alias("low"),
+            high.alias("high"),
+        )
+
     frames = (
-        running(points, [*group, "__sign"], "__pos", stats, "__width", raw, limit)
+        running(points, [*group, "__sign"], "__pos", sums, "__width", raw, limit)
         .where("__asks")
-        .groupBy(*group, (F.col("__pos") * F.col("__sign")).alias("__at"))
-        .agg(
-            *[F.sum(c).alias(c) for c in ("__n", "__s", "__q")],
-            F.min("__low").alias("__low"),
-            F.max("__high").alias("__high"),
-        )
+        .groupBy(*group, "__first", "__last", (F.col("__pos") * F.col("__sign")).alias("__at"))
+        .agg(stats(1, "__first").alias("__head_stats"), stats(-1, "__last").alias("__tail_stats"))
+        .drop("__first", "__last")
+    )
+    heads = rows.where(~tail)
+    return join_groups(heads, frames, [*group, "__at"], "left").withColumn(
+        name, _zscore(F.col("__v"), F.col("__head_stats"), F.col("__tail_stats"))
     )
-    joined = join_groups(centered.where(~F.col("__tail")), frames, [*group, "__at"], "left")
-    n, s, q = F.col("__n"), F.col("__s"), F.col("__q")
-    mean = F.try_divide(s, n)
-    score = _zscore(F.col("__d"), n, mean, q - s * mean, F.col("__low"), F.col("__high"))
-    return joined.withColumn(name, score).drop(*stats, "__center", "__width", "__d", "__tail", "__at")

@@ -1,0 +1,58 @@
+"""Streams of several micro-batches, with late rows and restarts."""
+
+from datetime import datetime
+
+import pytest
+
+from frostgrid.functions import count, high
+from frostgrid.operators import resample
+from frostgrid.sources import stream_table
+from frostgrid.streaming import append_to_parquet, stream_resample
+from tests.frames import at, frame, ordered, rows_of
+
+SCHEMA = "key string, ts timestamp_ntz, value double"
+AGGS = {"n": count(), "hi": high("value")}
+
+
+def add_file(spark, folder, rows):
+    frame(spark, SCHEMA, rows).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+
+
+def run(spark, folder, step="1 minute", lateness="30 seconds"):
+    stream = stream_table(spark, folder, "events", max_files_per_trigger=1)
+    buckets = stream_resample(stream, "ts", ["key"], step, lateness, AGGS)
+    append_to_parquet(buckets, f"{folder}/out", f"{folder}/progress").awaitTermination()
+    return spark.read.schema(buckets.schema).parquet(f"{folder}/out")
+
+
+def test_late_rows_and_restart(spark, tmp_path):
+    folder = str(tmp_path)
+    add_file(spark, folder, [("a", at(5), 1.0), ("a", at(59.999999), 2.0), ("b", at(61), 3.0)])
+    assert rows_of(run(spark, folder)) == []  # watermark at 0:31
+
+    # 0:58 comes late but its minute is still open; 3:00 moves the watermark to 2:30.
+    add_file(spark, folder, [("a", at(58), 9.0), ("b", at(180), 1.0)])
+    first = [("a", at(0), 3, 9.0), ("b", at(60), 1, 3.0)]
+    assert rows_of(run(spark, folder)) == ordered(first)
+
+    # The first two minutes are closed: dropped. 2:45 is in an open one.
+    add_file(spark, folder, [("a", at(10), 7.0), ("b", at(70), 7.0), ("a", at(165), 4.0), ("c", at(400), 1.0)])
+    closed = first + [("a", at(120), 1, 4.0), ("b", at(180), 1, 1.0)]
+    assert rows_of(run(spark, folder)) == ordered(closed)
+
+    # Nothing new: nothing is emitted twice.
+    assert rows_of(run(spark, folder)) == ordered(closed)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_stream_agrees_with_batch_in_any_time_zone(spark, tmp_path, zone):
+    rows = [("a", datetime(2024, 3, 10, h, m), float(h)) for h in range(0, 9) for m in (0, 20, 59)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        add_file(spark, str(tmp_path), rows)
+        streamed = rows_of(run(spark, str(tmp_path), "1 hour", "10 minutes"))
+        batch = rows_of(resample(frame(spark, SCHEMA, rows), "ts", ["key"], "1 hour", AGGS))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert streamed == batch[:-1] and len(streamed) == 8
