@@ -10,18 +10,25 @@ from frostgrid.session import ensure_checkpoint_dir
 HOT_ROWS = 1_000_000
 
 
+def checkpointed(groups: DataFrame) -> DataFrame | None:
+    """``groups``, kept so that every later use sees the same rows, or None when there are none.
+
+    Runs one job.
+    """
+    ensure_checkpoint_dir(groups.sparkSession)
+    kept = groups.checkpoint()
+    return None if kept.isEmpty() else kept
+
+
 def hot_groups(df: DataFrame, by: list[str], limit: int, *extra: Column) -> DataFrame | None:
     """Groups of more than ``limit`` rows, or None when there are none.
 
     Runs one job: a count per group, combined on the map side, reading only
-    the columns in ``by``. The result has at most rows/limit rows; it is
-    checkpointed so that every later use sees the same groups. ``extra``
+    the columns it needs. The result has at most rows/limit rows. ``extra``
     columns are further aggregates to keep per hot group.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"), *extra)
-    hot = sizes.where(F.col("__rows") > limit).drop("__rows").checkpoint()
-    return None if hot.isEmpty() else hot
+    return checkpointed(sizes.where(F.col("__rows") > limit).drop("__rows"))
 
 
 def join_groups(df: DataFrame, groups: DataFrame, by: list[str], how: str) -> DataFrame:
