@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from frostgrid.session import ensure_checkpoint_dir
 
 HOT_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 
 
 def checkpointed(groups: DataFrame) -> DataFrame | None:
     """``groups``, kept so that every later use sees the same rows, or None when there are none.
 
-    Runs one job.
+    Runs a job for the rows and counts what it kept. Spark cannot tell the
+    size of a checkpoint and would shuffle whatever is joined to it; up to
+    ``BROADCAST_ROWS`` rows of a few columns are marked for broadcast.
     """
     ensure_checkpoint_dir(groups.sparkSession)
     kept = groups.checkpoint()
-    return None if kept.isEmpty() else kept
+    rows = kept.count()
+    if rows == 0:
+        return None
+    return F.broadcast(kept) if rows <= BROADCAST_ROWS else kept
 
 
 def hot_groups(df: DataFrame, by: list[str], limit: int, *extra: Column) -> DataFrame | None:

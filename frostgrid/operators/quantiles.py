@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frostgrid.operators.hot import HOT_ROWS, hot_groups, join_groups, only_hot, without_hot
+from frostgrid.operators.hot import HOT_ROWS, checkpointed, hot_groups, join_groups, only_hot, without_hot
 
 # Rank error of the sketch that brackets a quantile is 1/SKETCH_ACCURACY of the rows.
 SKETCH_ACCURACY = 100_000
@@ -62,9 +62,11 @@ def _by_selection(
     # The error of the sketch, and three rows for ranks that are rounded.
     margin = 4 / SKETCH_ACCURACY + 3 / least_rows
     edges = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    brackets = df.groupBy(*keys).agg(
-        F.count(value).alias("__n"),
-        F.percentile_approx(value, edges, SKETCH_ACCURACY).alias("__edges"),
+    brackets = checkpointed(
+        df.groupBy(*keys).agg(
+            F.count(value).alias("__n"),
+            F.percentile_approx(value, edges, SKETCH_ACCURACY).alias("__edges"),
+        )
     )
     rows = join_groups(df.where(F.col(value).isNotNull()).select(*keys, value), brackets, keys, "inner")
 

@@ -3,8 +3,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
-SLICES = 1024
+ONE_STEP_K = 32
+SLICES = 4096
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -14,13 +14,14 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     every run.
 
     Spark keeps only ``k`` rows per group in each task before the shuffle, so
-    large groups arrive small. It stops doing so above a threshold on ``k``;
-    groups are then first cut into slices by a hash of the row, each of which
-    can give at most ``k`` rows to the result.
+    a large group arrives small. With a larger ``k``, what is left of a group
+    in very many tasks is still a lot for one, so the tasks' rows first meet
+    in slices, which give at most ``k`` each. The same holds above the ``k`` at
+    which Spark no longer limits groups early (1000 by default). Which task a
+    row is in does not matter for the result.
     """
-    threshold = int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING, "1000"))
-    if k > threshold:
-        sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*df.columns), F.lit(SLICES)))
+    if k > ONE_STEP_K:
+        sliced = df.withColumn("__slice", F.spark_partition_id() % SLICES)
         df = _first(sliced, [*keys, "__slice"], order, k, "__slice_rank").drop("__slice", "__slice_rank")
     return _first(df, keys, order, k, rank)
 

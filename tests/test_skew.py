@@ -66,6 +66,12 @@ def views(readings):
     return readings.where("id % 3 = 1").select("user", "ts", F.col("value").alias("seen"))
 
 
+def intervals(readings):
+    return readings.select(
+        "id", "user", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 2 seconds")).alias("end")
+    )
+
+
 CASES = {
     "resample": lambda r: resample(r, "ts", ["user"], "1 hour", {"n": count(), "peak": high("value")}),
     "gap_fill": lambda r: gap_fill(
@@ -80,6 +86,10 @@ CASES = {
     "rolling": lambda r: rolling_zscore(r, "ts", ["user"], "value", "1 day", hot_rows=HOT),
     "quantiles": lambda r: quantile_profile(r, ["user"], "value", [0.1, 0.5], hot_rows=HOT),
     "rollup": lambda r: geo_rollup(r, ["user"], {"n": count(), "s": total("value")}),
+    "top_k_large": lambda r: top_k(r.select("id", "user", "value"), ["user"], [F.desc("value"), F.asc("id")], 200),
+    "overlap": lambda r: overlap_join(
+        intervals(r).where("id % 50 = 3"), intervals(r), ["user"], pairs_per_row=1, hot_rows=HOT
+    ).select("id", "id_right"),
     "top_k": lambda r: top_k(r.select("id", "user", "value"), ["user"], [F.desc("value"), F.asc("id")], 5),
 }
 
@@ -102,11 +112,8 @@ def test_a_plain_window_would(spark, readings):
 
 def test_overlap_join_does_not_compare_all_rows_of_a_key(spark, readings):
     """Nine tenths of the rows share a key, yet each meets only its own seconds."""
-    intervals = readings.select(
-        "id", "user", F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 2 seconds")).alias("end")
-    )
-    others = intervals.where("id % 7 = 0")
-    pairs = overlap_join(intervals, others, ["user"])
+    others = intervals(readings).where("id % 7 = 0")
+    pairs = overlap_join(intervals(readings), others, ["user"])
     expected = others.count()
     assert pairs.where("id = id_right").count() == expected
     assert pairs.count() < ROWS * 3

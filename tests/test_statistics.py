@@ -9,9 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostgrid.functions import count, high, mean, total
-from frostgrid.operators import geo_rollup, quantile_profile, rolling_zscore, top_k
+from frostgrid.operators import geo_rollup, quantile_profile, rolling_zscore, top_k, topk
 from frostgrid.operators.running import running
-from frostgrid.operators.topk import GROUP_LIMIT_SETTING
 from tests.frames import at, frame, ordered, rows_of
 
 READINGS = "id bigint, key string, ts timestamp_ntz, value double"
@@ -137,20 +136,16 @@ def test_geo_rollup(spark):
     ])
 
 
-@pytest.mark.parametrize("threshold", ["1000", "2"])
-def test_top_k(spark, threshold):
+@pytest.mark.parametrize("one_step_k", [32, 2])
+def test_top_k(spark, monkeypatch, one_step_k):
+    monkeypatch.setattr(topk, "ONE_STEP_K", one_step_k)
     rng = random.Random(8)
     rows = [(i, rng.choice(["a", "b", None]), at(0), float(rng.randrange(5))) for i in range(100)]
     rows.append((100, "c", at(0), None))
-    before = spark.conf.get(GROUP_LIMIT_SETTING)
-    spark.conf.set(GROUP_LIMIT_SETTING, threshold)
-    try:
-        got = top_k(frame(spark, READINGS, rows), ["key"], [F.desc("value"), F.asc("id")], 7)
-        result = rows_of(got.select("key", "id", "rank"))
-    finally:
-        spark.conf.set(GROUP_LIMIT_SETTING, before)
+    df = frame(spark, READINGS, rows).repartition(5)
+    got = rows_of(top_k(df, ["key"], [F.desc("value"), F.asc("id")], 7).select("key", "id", "rank"))
     expected = []
     for key in ("a", "b", None, "c"):
         best = sorted((r for r in rows if r[1] == key), key=lambda r: (-(r[3] or 0.0), r[0]))[:7]
         expected += [(key, r[0], n + 1) for n, r in enumerate(best)]
-    assert result == ordered(expected)
+    assert got == ordered(expected)
