@@ -33,6 +33,13 @@ def as_of_join(
     execution can split the left side as finely as needed.
     """
     right_ts = right_ts or ts
+    if not keys:
+        one = F.lit(1)
+        joined = as_of_join(
+            left.withColumn("__all", one), right.withColumn("__all", one), ts, ["__all"],
+            tolerance, right_ts, tie_break, suffix, hot_rows,
+        )
+        return joined.drop("__all")
     payload = [c for c in right.columns if c not in keys]
     names = {c: c + suffix if c in left.columns or c == right_ts else c for c in payload}
 

@@ -20,7 +20,7 @@ def resample(df: DataFrame, ts: str, keys: list[str], step: str, aggs: dict[str,
     """
     if step in CALENDAR_STEPS:
         rows = df.where(F.col(ts).isNotNull())
-        bucket = F.date_trunc(step, F.col(ts)).cast(df.schema[ts].dataType)
+        bucket = F.trunc(F.col(ts).cast("date"), step).cast(df.schema[ts].dataType)
         return rows.groupBy(*keys, bucket.alias(ts)).agg(*whole_columns(aggs))
     grouped = df.groupBy(*keys, F.window(ts, step).alias("__window")).agg(*whole_columns(aggs))
     return grouped.select(*keys, F.col("__window.start").alias(ts), *aggs)

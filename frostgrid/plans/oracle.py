@@ -129,3 +129,11 @@ FROM events GROUP BY 1, 2
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
 """,
 }
+
+SMALL_LIMITS = "_small_limits"
+ORACLE_SQL |= {
+    name + SMALL_LIMITS: ORACLE_SQL[name]
+    for name in (
+        "gap_fill_last", "threshold_spell", "sessions", "as_of", "overlap_any_user", "rolling_zscores", "quantiles",
+    )
+}

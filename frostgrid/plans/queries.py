@@ -1,5 +1,8 @@
 """One query per operator, or per mode of one, over the stored tables.
 
+Names in ``_small_limits`` run another query with limits so low that its groups
+count as large.
+
 Sums and averages of doubles depend on the order of addition, so they are
 rounded before they are compared.
 """
@@ -77,6 +80,12 @@ def gap_fill_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap_fill(hourly_high(events(spark, sf_dir), "user_id"), "ts", ["user_id"], "1 hour", method="last")
 
 
+@query
+def gap_fill_last_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hourly = hourly_high(events(spark, sf_dir), "user_id")
+    return gap_fill(hourly, "ts", ["user_id"], "1 hour", method="last", chunk_steps=50)
+
+
 @query
 def threshold_spell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unbroken hours with a peak of 100 or more, per type."""
@@ -86,6 +95,14 @@ def threshold_spell(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def threshold_spell_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_spells(
+        hourly_high(events(spark, sf_dir), "event_type"), "ts", ["event_type"],
+        F.col("max_value") >= 100, "1 hour", aggs={"peak": high("max_value")}, chunk_steps=10,
+    )
+
+
 @query
 def threshold_spell_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spells of three hours or more with the mean of their hourly peaks."""
@@ -104,6 +121,14 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sessionize(events(spark, sf_dir), "ts", ["user_id"], "6 hours", aggs), sum_value=2)
 
 
+@query
+def sessions_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aggs = {"n": count(), "sum_value": total("value"), "peak": high("value")}
+    return rounded(
+        sessionize(events(spark, sf_dir), "ts", ["user_id"], "6 hours", aggs, chunk_cells=4), sum_value=2
+    )
+
+
 def errors_and_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     all_events = events(spark, sf_dir)
     errors = all_events.where(F.col("event_type") == "error").select("event_id", "user_id", "ts", "value")
@@ -118,6 +143,12 @@ def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_of_join(errors, views, "ts", ["user_id"])
 
 
+@query
+def as_of_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors, views = errors_and_views(spark, sf_dir)
+    return as_of_join(errors, views, "ts", ["user_id"], hot_rows=20)
+
+
 @query
 def as_of_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each error with the latest view of its user, if no older than 12 hours."""
@@ -157,6 +188,12 @@ def overlap_any_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_join(outages, crews)
 
 
+@query
+def overlap_any_user_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outages, crews = outages_and_crews(spark, sf_dir)
+    return overlap_join(outages, crews, pairs_per_row=5, hot_rows=30)
+
+
 @query
 def rolling_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reading against the seven days of its user before it."""
@@ -164,6 +201,13 @@ def rolling_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rolling_zscore(readings, "ts", ["user_id"], "value", "7 days"), zscore=6)
 
 
+@query
+def rolling_zscores_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings = events(spark, sf_dir).select("event_id", "user_id", "ts", "value")
+    scores = rolling_zscore(readings, "ts", ["user_id"], "value", "7 days", hot_rows=30)
+    return rounded(scores, zscore=6)
+
+
 PROBS = [0.05, 0.5, 0.95]
 
 
@@ -174,6 +218,13 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile, p5=6, p50=6, p95=6)
 
 
+@query
+def quantiles_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    readings = events(spark, sf_dir).select("event_type", "value")
+    profile = quantile_profile(readings, ["event_type"], "value", PROBS, hot_rows=1_000)
+    return rounded(profile, p5=6, p50=6, p95=6)
+
+
 @query
 def quantiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = events(spark, sf_dir).select("event_type", "value")

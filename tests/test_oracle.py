@@ -16,7 +16,7 @@ SPARK_TO_DUCKDB = {
 def test_query_agrees_with_sql(spark, name):
     df = entry.queries()[name](spark, SF_DIR)
     names, types, expected = run_sql(entry.oracle_sql()[name], SF_DIR)
-    assert sorted(df.columns) == sorted(names)
+    assert {f.name: SPARK_TO_DUCKDB[f.dataType.simpleString()] for f in df.schema} == types
     got = df.collect()
     assert len(got) == len(expected) > 0
     assert canonical(df.columns, got) == canonical(names, expected)
