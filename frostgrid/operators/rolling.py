@@ -36,9 +36,10 @@ def rolling_zscore(
     group = [*keys, "__piece"]
     timed = df.where(F.col(ts).isNotNull()).withColumn("__us", micros(df, ts))
     timed = timed.withColumn("__own", floor_div(F.col("__us"), span))
+    own, us = F.col("__own"), F.col("__us")
     copies = F.array(
-        F.struct(F.col("__own").alias("__piece"), F.col("__us").alias("__at"), F.lit(False).alias("__tail")),
-        F.struct((F.col("__own") + 1).alias("__piece"), (F.col("__us") + span).alias("__at"), F.lit(True).alias("__tail")),
+        F.struct(own.alias("__piece"), us.alias("__at"), F.lit(False).alias("__tail")),
+        F.struct((own + 1).alias("__piece"), (us + span).alias("__at"), F.lit(True).alias("__tail")),
     )
     others = [c for c in df.columns if c not in (*keys, value)]
     rows = timed.withColumn("__copy", F.explode(copies)).select(
