@@ -71,3 +71,26 @@ def test_gap_fill_shuffles_its_rows_once(spark):
 def test_customer_totals_join_without_another_shuffle(plans):
     plan = plans["rollup_by_place"]
     assert len(re.findall(r"Exchange hashpartitioning\(o_custkey", plan)) == 1
+
+
+@pytest.mark.parametrize("name", ["gap_fill_last", "as_of", "rolling_zscores"])
+def test_coalescing_does_not_tear_apart_chunks_and_their_first_rows(spark, name):
+    """Rows and carried totals are united without a shuffle, so they must be coalesced alike or not at all."""
+    settings = {
+        "spark.sql.shuffle.partitions": "20",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plain, limited = (
+            sorted(map(repr, entry.queries()[n](spark, "/root/testdata/sf0.01").collect()))
+            for n in (name, name + SMALL_LIMITS)
+        )
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert plain == limited
