@@ -1,0 +1,129 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from frostgrid.llm.components import components
+from frostgrid.llm.simhash import VantageTree, fingerprint, near_links, simhash_groups, stars_in_leaf
+from frostgrid.sources import read_table
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+def plain_fingerprint(text):
+    words, word = [], ""
+    for c in text or "":
+        if c in " \t\n\x0b\x0c\r":
+            words, word = words + [word] * bool(word), ""
+        else:
+            word += c.lower() if "A" <= c <= "Z" else c
+    words += [word] * bool(word)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 4]) for i in range(max(len(words) - 3, 1))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_roots(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "A bc d e", "É é  x\ty z " * 7, "w " * 20000])
+def test_fingerprint_of_a_text(text):
+    assert fingerprint(text.encode() if text is not None else None) == plain_fingerprint(text)
+
+
+def clustered(rng, n):
+    points = set()
+    while len(points) < n:
+        base = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 6)):
+            for _ in range(rng.randint(0, 3)):
+                base ^= 1 << rng.randrange(64)
+            points.add(base)
+    return sorted(points)
+
+
+@pytest.mark.parametrize("levels", [0, 1, 3, 8, 16])
+def test_tree_reaches_every_near_leaf(levels):
+    points = np.array(clustered(random.Random(levels), 600), np.uint64)
+    tree = VantageTree(points[::3], levels)
+    home = tree.home(points)
+    index, leaf = tree.reached(points, 4)
+    seen = set(zip(index.tolist(), leaf.tolist()))
+    assert len(seen) == len(index)
+    for i, j in zip(*np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4)):
+        assert (int(i), int(home[j])) in seen
+
+
+def test_leaf_joins_all_near_points():
+    points = np.array(clustered(random.Random(9), 500), np.uint64)
+    a, b = stars_in_leaf(points, points, 4)
+    near = np.argwhere(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4)
+    wanted = plain_roots(points.tolist(), [(points[i].item(), points[j].item()) for i, j in near])
+    assert plain_roots(points.tolist(), zip(a.tolist(), b.tolist())) == wanted
+
+
+@pytest.mark.parametrize("leaf_rows,chunk_rows", [(4096, 4096), (20, 1000), (20, 7)])
+def test_links_keep_components(spark, leaf_rows, chunk_rows):
+    points = np.array(clustered(random.Random(3), 700), np.uint64)
+    df = spark.createDataFrame([(x,) for x in points.view(np.int64).tolist()], "fp bigint")
+    found = {r.node: r.root for r in components(near_links(df, 4, leaf_rows, chunk_rows)).collect()}
+    near = np.argwhere(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4)
+    signed = points.view(np.int64).tolist()
+    wanted = plain_roots(signed, [(signed[i], signed[j]) for i, j in near])
+    assert {x: found.get(x, x) for x in signed} == wanted
+
+
+def test_components_of_a_path_and_a_star(spark):
+    path = [(i, i + 1) for i in range(100, 160)]
+    star = [(7, i) for i in range(200, 260)]
+    df = spark.createDataFrame([*path, *star, (5, 5), (None, 3)], "a bigint, b bigint")
+    found = {r.node: r.root for r in components(df).collect()}
+    assert found == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(200, 260)}}
+    assert components(df.where("false")).count() == 0
+
+
+def by_brute_force(rows):
+    fps = [(i, plain_fingerprint(t)) for i, t in rows]
+    keys = sorted({f for _, f in fps})
+    linked = [(a, b) for x, a in enumerate(keys) for b in keys[x + 1:] if (a ^ b).bit_count() <= 4]
+    root = plain_roots(keys, linked)
+    first = {}
+    for i, f in fps:
+        if i is not None:
+            first[root[f]] = min(first.get(root[f], i), i)
+    return sorted(((i, f, first.get(root[f])) for i, f in fps), key=repr)
+
+
+def check(df, rows):
+    got = [(r.doc_id, r.fp % 2**64, r.component_id) for r in simhash_groups(df).collect()]
+    assert sorted(got, key=repr) == by_brute_force(rows)
+
+
+def test_odd_rows(spark):
+    rows = [
+        (3, None), (1, ""), (2, " "), (9, "a"), (4, "A"), (5, "one two three four five " * 3000),
+        (6, "one two three four five " * 3001), (6, "one two three four five " * 3001), (None, "zz yy"),
+        (None, "a"), (8, "é"), (7, "É"),
+    ]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id bigint, text string, fp string, component_id int")
+    check(df, rows)
+    assert simhash_groups(df.where("false")).count() == 0
+
+
+def test_table_against_brute_force(spark):
+    df = read_table(spark, SF_DIR, "documents")
+    check(df, [(r.doc_id, r.text) for r in df.collect()])
