@@ -17,8 +17,10 @@ from frostgrid.llm.components import components
 
 SEED = 42
 SAMPLE_ROWS = 4096
-LEAF_ROWS = 4096
-CHUNK_ROWS = 32768
+# Points of a shard, of a task where a shard is larger, and of a leaf inside a task.
+LEAF_ROWS = 32768
+CHUNK_ROWS = 131072
+INNER_ROWS = 128
 MOST_LEVELS = 16
 BITS = 64
 
@@ -131,32 +133,39 @@ class VantageTree:
 def stars_in_leaf(homes: np.ndarray, queries: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join all that lies within ``reach``, a query and a home at a time.
 
-    Both arrays hold distinct points. They are sorted by their distance from a
-    vantage point of the leaf; by the triangle bound only rings at most
-    ``reach`` apart are compared. Each class found is returned as a star.
+    Both arrays hold distinct points. A tree over the points at home prunes the
+    search in memory; each class found is returned as a star.
     """
     points = np.unique(np.concatenate([homes, queries]))
     root = np.arange(len(points))
-    if len(homes):
-        ring_h = np.bitwise_count(homes ^ homes[0])
-        ring_q = np.bitwise_count(queries ^ homes[0])
-        homes, queries = homes[np.argsort(ring_h)], queries[np.argsort(ring_q)]
-        ring_h, ring_q = np.sort(ring_h).astype(np.int64), np.sort(ring_q).astype(np.int64)
+    if len(homes) and len(queries):
+        tree = VantageTree(homes[:: len(homes) // SAMPLE_ROWS + 1], _levels(len(homes), INNER_ROWS))
+        home = tree.home(homes)
+        order = np.argsort(home)
+        homes, home = homes[order], home[order]
         at_h, at_q = np.searchsorted(points, homes), np.searchsorted(points, queries)
-        for ring in np.unique(ring_q):
-            q0, q1 = np.searchsorted(ring_q, [ring, ring + 1])
-            h0, h1 = np.searchsorted(ring_h, [ring - reach, ring + reach + 1])
-            for b in range(h0, h1, 4096):
-                near = homes[b:min(b + 4096, h1)]
-                for a in range(q0, q1, 32):
-                    block = queries[a:min(a + 32, q1), None] ^ near[None, :]
-                    i, k = np.nonzero(np.bitwise_count(block) <= reach)
-                    if len(i):
-                        _unite(root, at_q[a + i], at_h[b + k])
+        for part in range(0, len(queries), CHUNK_ROWS):
+            index, leaf = tree.reached(queries[part:part + CHUNK_ROWS], reach)
+            order = np.argsort(leaf)
+            index, leaf = index[order] + part, leaf[order]
+            for one in np.unique(home):
+                h0, h1 = np.searchsorted(home, [one, one + 1])
+                q0, q1 = np.searchsorted(leaf, [one, one + 1])
+                for b in range(h0, h1, 1024):
+                    near = homes[b:min(b + 1024, h1)]
+                    for a in range(q0, q1, 128):
+                        of = index[a:min(a + 128, q1)]
+                        i, k = np.nonzero(np.bitwise_count(queries[of, None] ^ near[None, :]) <= reach)
+                        if len(i):
+                            _unite(root, at_q[of[i]], at_h[b + k])
     linked = np.nonzero(root != np.arange(len(points)))[0]
     return points[linked], points[root[linked]]
 
 
+def _levels(rows: int, leaf_rows: int) -> int:
+    return min(max(math.ceil(math.log2(max(rows, 1) / leaf_rows)), 0), MOST_LEVELS)
+
+
 def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     while True:
         ra, rb = root[a], root[b]
@@ -184,7 +193,7 @@ def near_links(points: DataFrame, reach: int = 4, leaf_rows: int = LEAF_ROWS, ch
     """
     spark = points.sparkSession
     rows = points.count()
-    levels = min(max(math.ceil(math.log2(max(rows, 1) / leaf_rows)), 0), MOST_LEVELS)
+    levels = _levels(rows, leaf_rows)
     sample = [r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).collect()]
     tree = VantageTree(np.array(sample, np.int64).view(np.uint64), levels)
 
