@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from frostgrid.session import ensure_checkpoint_dir, shared_dir
 
@@ -26,3 +27,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def tasks(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 4_000_000
+SALTS = 32
+
+
+def join_lookup(df: DataFrame, lookup: DataFrame, key: str, salt: Column, how: str = "left") -> DataFrame:
+    """Join ``lookup``, a table with one row per ``key``, where null equals null.
+
+    ``lookup`` is counted and measured first: up to ``BROADCAST_ROWS`` rows of
+    ``BROADCAST_BYTES`` in all it is broadcast. A larger one is repeated under
+    ``SALTS`` salts and ``df`` is dealt out by key and ``salt``, so that no task
+    gets all the rows of one key.
+    """
+    size = lookup.agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")
+    ).collect()[0]
+    other = lookup.withColumnRenamed(key, "__key")
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    if size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(other), same, how).drop("__key")
+    other = other.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return salted.join(other, same & (F.col("__salt") == F.col("__of")), how).drop("__key", "__of", "__salt")

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostgrid.llm.mixing import mix_sources
+from frostgrid.llm.oracle import ORACLE_SQL
 from frostgrid.llm.simhash import simhash_groups
 from frostgrid.sources import read_table
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(build: Query) -> Query:
@@ -25,3 +28,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     groups = simhash_groups(read_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of one and a half times the corpus takes of every document."""
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
