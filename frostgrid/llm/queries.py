@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostgrid.llm.mixing import mix_sources
 from frostgrid.llm.oracle import ORACLE_SQL
+from frostgrid.llm.packing import pack_sequences, packed_matrices, token_pieces
 from frostgrid.llm.simhash import simhash_groups
 from frostgrid.sources import read_table
 
@@ -35,3 +37,21 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of one and a half times the corpus takes of every document."""
     mixed = mix_sources(read_table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces in sequences of 2048 tokens."""
+    return pack_sequences(token_pieces(read_table(spark, sf_dir, "documents"), word_tokenizer()))
+
+
+@query
+def op7_packed_id_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in packed rows of 2048 token ids."""
+    return packed_matrices(read_table(spark, sf_dir, "documents"), word_tokenizer(), vocabulary=49_408)
