@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from frostgrid.llm.mixing import mix_sources
 from frostgrid.llm.oracle import ORACLE_SQL
 from frostgrid.llm.packing import pack_sequences, packed_matrices, token_pieces
+from frostgrid.llm.repeats import remove_repeats
 from frostgrid.llm.simhash import simhash_groups
 from frostgrid.sources import read_table
 
@@ -45,6 +46,21 @@ def word_tokenizer() -> str:
     return Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
 
 
+@query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    left = remove_repeats(read_table(spark, sf_dir, "documents"))
+    zero = F.lit(0).cast("bigint")
+    n_removed = F.aggregate("spans", zero, lambda n, span: n + span["end"] - span["start"])
+    return left.select(
+        "doc_id",
+        (F.octet_length("kept") + n_removed).alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces in sequences of 2048 tokens."""
