@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostgrid.llm.language import fit_text_model, identify_language
 from frostgrid.llm.mixing import mix_sources
 from frostgrid.llm.oracle import ORACLE_SQL
 from frostgrid.llm.packing import pack_sequences, packed_matrices, token_pieces
@@ -67,6 +68,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(token_pieces(read_table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from its text, its declared language and its source."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = identify_language(docs, fit_text_model(docs))
+    return found.withColumn("posterior", F.round("posterior", 6))
+
+
 @query
 def op7_packed_id_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in packed rows of 2048 token ids."""
