@@ -130,4 +130,4 @@ def test_markup_pages(spark, model):
         df, model, "page_id", text_col="html", declared_col="tag", host_col="host", domain_col="domain", suffix_col="tld"
     )
     agree = found.join(df.select(F.col("page_id").alias("doc_id"), "tag"), "doc_id").where("language = tag").count()
-    assert agree >= 0.9 * df.count()
+    assert agree >= 0.8 * df.count()
