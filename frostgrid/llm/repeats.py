@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from frostgrid.llm.common import tasks
 
 GRAM = 24
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 4_000_000
+TASK_BYTES = 64_000_000
 CROWDED = 20_000
 CHUNK = 1 << 15
 NO_ID = np.iinfo(np.int64).max
@@ -389,6 +390,9 @@ def remove_repeats(
         F.col(id_col).cast("bigint").alias("__id"), text.alias("__text"), *[F.col(c).alias(f"__keep_{c}") for c in keep]
     )
     dealt = slim.withColumn("bucket", F.pmod(F.xxhash64("__id", "__text"), F.lit(buckets)))
+    # A number of its own, since by their bytes tasks would be merged into too few for the work in them.
+    parts = max(tasks(spark), -(-total // TASK_BYTES))
+    dealt = dealt.repartition(parts, "bucket")
 
     def bucket_of(table: pa.Table) -> int:
         return table.column("bucket")[0].as_py()
@@ -436,10 +440,11 @@ def remove_repeats(
 
     by_bucket = dealt.groupBy("bucket")
     repeated = (
-        by_bucket.applyInArrow(send_triggers, ddl(TRIGGERS)).groupBy("shard").applyInArrow(answer_triggers, ddl(REPEATED))
+        by_bucket.applyInArrow(send_triggers, ddl(TRIGGERS))
+        .repartition(parts, "shard").groupBy("shard").applyInArrow(answer_triggers, ddl(REPEATED))
     )
     phrases = by_bucket.cogroup(repeated.groupBy("bucket")).applyInArrow(send_dictionary, ddl(DICTIONARY))
-    found = phrases.groupBy("shard").applyInArrow(answer_dictionary, ddl(FOUND))
+    found = phrases.repartition(parts, "shard").groupBy("shard").applyInArrow(answer_dictionary, ddl(FOUND))
     out = "doc_id bigint, kept binary, spans array<struct<start: bigint, end: bigint>>"
     out += "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept_fields)
     result = by_bucket.cogroup(found.groupBy("bucket")).applyInArrow(remove, out)
