@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frostgrid.llm.common import checkpointed, join_lookup
+from frostgrid.llm.common import checkpointed, join_lookup, tasks
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Cells that a source is laid out in, a prime, so that ids at regular steps spread over all of them.
@@ -114,6 +114,7 @@ def draw_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     passes = F.floor(F.col("target") / F.col("source_size"))
     rest = F.round((F.col("target") - passes * F.col("source_size")) / F.lit(block_words)).cast("bigint")
     slots = F.least(passes * F.col("blocks") + rest, F.col("blocks") * 2)
+    parts = tasks(sources.sparkSession)
     counted = sources.where("source_size > 0").select("rank", blocks.alias("blocks"), "target", "source_size")
     counted = counted.withColumn("slots", slots).where("slots > 0").drop("target", "source_size")
     shards = F.greatest(F.ceil(F.col("all_slots") / F.lit(shard_slots)), F.lit(1)).cast("bigint")
@@ -121,14 +122,16 @@ def draw_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     counted = counted.withColumn("all_slots", F.sum("slots").over(everything)).withColumn("shards", shards)
 
     draws = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / F.lit(shard_slots))))
-    batches = counted.withColumn("batch", draws).repartition("rank", "batch")
+    batches = counted.withColumn("batch", draws).repartition(parts, "rank", "batch")
     last = F.least((F.col("batch") + 1) * shard_slots, F.col("slots")) - 1
     drawn = batches.withColumn("i", F.explode(F.sequence(F.col("batch") * shard_slots, last)))
     shard = F.pmod(F.xxhash64("rank", "i"), F.col("shards"))
     counts = drawn.groupBy("rank", "blocks", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).repartition("rank", "shard")
+    numbered = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # By its few bytes this would be merged into one task, but each row becomes a shard's slots.
+    numbered = numbered.repartition(parts, "rank", "shard")
     slot = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
     filled = numbered.select("shard", "rank", "blocks", slot.alias("slot"))
     filled = filled.withColumn("index", F.col("slot") % F.col("blocks"))
