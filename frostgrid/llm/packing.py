@@ -30,11 +30,12 @@ def token_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        words = encoder(tokenizer)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), words.encode_all(texts)):
+                data = np.append(encoded, np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(data), seq_len)):
                     ids = data[start:start + seq_len]
                     row = (doc_id, piece, start, len(ids), zlib.crc32(ids.tobytes()))
@@ -219,11 +220,12 @@ def packed_matrices(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        words = encoder(tokenizer)
         held, tokens = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype(kind)
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), words.encode_all(texts)):
+                data = np.append(encoded, np.uint32(end_id)).astype(kind)
                 for piece, start in enumerate(range(0, len(data), seq_len)):
                     held.append((doc_id, piece, data[start:start + seq_len]))
                 tokens += len(data)

@@ -6,10 +6,12 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
+GROUP_WORDS = 30_000
 _ENCODERS: dict[int, WordEncoder] = {}
 
 # Characters that Python and the tokenizer's own expressions class alike: up to U+017F but
@@ -44,9 +46,18 @@ class WordEncoder:
         kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = kinds == _NORMALIZERS and splits[:1] == [_SPLIT]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        # Texts are normalized and split when they get to this one.
+        bytes_only = [p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "ByteLevel"]
+        bare = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *bytes_only]}
+        self.of_words = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": bare}))
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.last[number] = bool(suffix) and token.endswith(suffix)
+        self.by_word = self.by_word and bool(suffix)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
         self.words = re.compile(
-            f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+            f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
         )
         self._forget()
 
@@ -57,38 +68,76 @@ class WordEncoder:
         self.pool = np.zeros(4096, np.uint32)
         self.filled = 0
 
+    @staticmethod
+    def _plain_ids(tokenizer, text: str) -> list[int]:
+        """The ids of a text, without the offsets that a plain call works out too."""
+        return tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.fromiter((i for word in ids for i in word), np.uint32)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.array(self._plain_ids(self.of_words, " ".join(words)), np.uint32)
+        ends = np.nonzero(self.last[flat])[0] + 1
+        if len(ends) != len(words):
+            ids = [self._plain_ids(self.tokenizer, w) for w in words]
+            flat = np.fromiter((i for word in ids for i in word), np.uint32)
+            ends = np.cumsum([len(word) for word in ids])
+        counts = np.diff(ends, prepend=0)
         n, m = len(self.known), len(self.known) + len(words)
         if m > len(self.starts):
             self.starts, self.counts = (np.resize(a, 2 * m) for a in (self.starts, self.counts))
         if self.filled + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.filled + len(flat)))
-        self.starts[n:m] = self.filled + np.cumsum(counts) - counts
+        self.starts[n:m] = self.filled + ends - counts
         self.counts[n:m] = counts
         self.pool[self.filled:self.filled + len(flat)] = flat
         self.filled += len(flat)
         self.known.update(zip(words, range(n, m)))
 
+    def _whole(self, text: str) -> bool:
+        return not self.by_word or bool(_OTHER_CHARACTERS.search(text)) or bool(self.special.search(text))
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text, without special tokens."""
-        if not self.by_word or _OTHER_CHARACTERS.search(text) or self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self.words.findall(text.lower())
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > KNOWN_WORDS:
+        return next(iter(self.encode_all([text])))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, with words looked up for about ``GROUP_WORDS`` at a time."""
+        group: list[np.ndarray | int] = []
+        words: list[str] = []
+        for text in texts:
+            if self._whole(text):
+                group.append(np.array(self._plain_ids(self.tokenizer, text), np.uint32))
+            else:
+                found = self.words.findall(text.lower())
+                group.append(len(found))
+                words += found
+            if len(words) >= GROUP_WORDS:
+                yield from self._looked_up(group, words)
+                group, words = [], []
+        yield from self._looked_up(group, words)
+
+    def _looked_up(self, group: list[np.ndarray | int], words: list[str]) -> Iterator[np.ndarray]:
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = list(dict.fromkeys(w for w, i in zip(words, at) if i is None))
+            if len(self.known) + len(new) > KNOWN_WORDS:
                 self._forget()
-                new, known = list(dict.fromkeys(words)), self.known
+                new = list(dict.fromkeys(words))
             self._learn(new)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        counts = self.counts[at]
+            at = map(self.known.__getitem__, words)
+        index = np.fromiter(at, np.int64, len(words))
+        counts = self.counts[index]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(total)]
+        ids = self.pool[np.repeat(self.starts[index] - ends + counts, counts) + np.arange(total)]
+        word = done = 0
+        for of in group:
+            if isinstance(of, np.ndarray):
+                yield of
+            else:
+                word += of
+                end = int(ends[word - 1]) if word else 0
+                yield ids[done:end]
+                done = end
 
 
 def encoder(content: str) -> WordEncoder:
