@@ -8,7 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostgrid.llm.ann import nearest_neighbours
 from frostgrid.llm.language import fit_text_model, identify_language
+from frostgrid.llm.maxscore import inner_product_top_k
 from frostgrid.llm.mixing import mix_sources
 from frostgrid.llm.oracle import ORACLE_SQL
 from frostgrid.llm.packing import pack_sequences, packed_matrices, token_pieces
@@ -80,3 +82,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packed_id_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in packed rows of 2048 token ids."""
     return packed_matrices(read_table(spark, sf_dir, "documents"), word_tokenizer(), vocabulary=49_408)
+
+
+@query
+def op9_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best by integer inner product for every twentieth vector."""
+    return inner_product_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found for every hundredth vector."""
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
