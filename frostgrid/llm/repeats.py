@@ -117,7 +117,10 @@ class Phrases:
             for k, step in enumerate((17, 34)):
                 key = _joined(key, hashes[np.minimum(first + step, tail)], k)
             key = _joined(key, hashes[tail], 2) ^ (last - first).astype(np.uint64)
-            parts.append((first + at, last + at, hashes[trigger[first]], key))
+            # The least of many hashes is small, so it is spread over all numbers again.
+            spread = hashes[trigger[first]] * _ODD[4]
+            spread = (spread ^ (spread >> np.uint64(32))) * _ODD[5]
+            parts.append((first + at, last + at, spread, key))
         empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         self.first, self.last, self.trigger, self.key = (np.concatenate(c) for c in zip(*(parts or [empty])))
         self.doc = np.searchsorted(self.ends, self.first, side="right")
