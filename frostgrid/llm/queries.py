@@ -21,6 +21,7 @@ from frostgrid.sources import read_table
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
+SOURCE_WEIGHTS = [3.0, 1.0, 2.0]
 QUERIES: dict[str, Query] = {}
 
 
@@ -39,7 +40,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of one and a half times the corpus takes of every document."""
-    mixed = mix_sources(read_table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0])
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

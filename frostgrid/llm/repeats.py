@@ -370,12 +370,14 @@ def remove_repeats(
     keep: tuple[str, ...] = (),
     bucket_bytes: int = BUCKET_BYTES,
     crowded: int = CROWDED,
+    as_text: bool = False,
 ) -> DataFrame:
     """Remove all bytes covered by a string of ``length`` bytes that starts in a document with a smaller id too.
 
     One row per document: ``doc_id``, ``kept`` (binary: the bytes left, joined),
     ``spans`` (the removed ranges, from ``start`` to before ``end``, apart from
-    each other) and the columns in ``keep``. Texts count as UTF-8, null as empty;
+    each other) and the columns in ``keep``. With ``as_text``, ``kept`` is a string and
+    parts of characters left at a cut go too. Texts count as UTF-8, null as empty;
     strings do not cross documents and are judged on the input. Rows of one id
     are one document to each other and remove nothing of each other; null is
     larger than every id. ``length`` is from 32 to 2000. The method is described at the
@@ -432,6 +434,10 @@ def remove_repeats(
                 else:
                     spans.append([])
                     kept.append(phrases.data[a:b].tobytes())
+        if as_text:
+            texts = kept.to_pylist() if isinstance(kept, pa.ChunkedArray) else kept
+            kept = pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string())
+        elif not isinstance(kept, pa.ChunkedArray):
             kept = pa.array(kept, pa.binary())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         columns = [table.column("__id"), kept, pa.array(spans, span)]
@@ -448,7 +454,7 @@ def remove_repeats(
     )
     phrases = by_bucket.cogroup(repeated.groupBy("bucket")).applyInArrow(send_dictionary, ddl(DICTIONARY))
     found = phrases.repartition(parts, "shard").groupBy("shard").applyInArrow(answer_dictionary, ddl(FOUND))
-    out = "doc_id bigint, kept binary, spans array<struct<start: bigint, end: bigint>>"
+    out = f"doc_id bigint, kept {'string' if as_text else 'binary'}, spans array<struct<start: bigint, end: bigint>>"
     out += "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept_fields)
     result = by_bucket.cogroup(found.groupBy("bucket")).applyInArrow(remove, out)
     return result.withColumnsRenamed({f"__keep_{c}": c for c in keep})
