@@ -74,3 +74,65 @@ times AS (
 )
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM laid LEFT JOIN taken USING (id)
 """
+
+_HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1)"
+_URL = r"regexp_replace(url, '#.*$', '')"
+
+ORACLE_SQL["op2_url_filters"] = f"""
+WITH captures AS (
+  SELECT page_id, url, {_HOST} AS host, {_URL} AS whole, DATE '2024-01-01' + (page_id % 60)::INTEGER AS day FROM pages
+), hosts AS (
+  SELECT host, min(page_id) AS n FROM captures GROUP BY host
+), domains AS (
+  SELECT regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain, min(n) AS n FROM hosts GROUP BY ALL
+), entries AS (
+  SELECT 'spam' AS list, false AS allow, host AS key, n % 50 AS day, true AS listed FROM hosts WHERE n % 3 = 0
+  UNION ALL SELECT 'spam', false, host, n % 50 + 10, false FROM hosts WHERE n % 3 = 0
+  UNION ALL SELECT 'spam', false, host, n % 50 + 20, true FROM hosts WHERE n % 6 = 0
+  UNION ALL SELECT 'adult', false, domain, n % 30, true FROM domains WHERE n % 4 = 1
+  UNION ALL SELECT 'trusted', true, host, 5, true FROM hosts WHERE n % 11 = 0
+  UNION ALL SELECT 'trusted', true, host, 40, false FROM hosts WHERE n % 11 = 0
+  UNION ALL SELECT 'phishing', false, whole, page_id % 60, true FROM captures WHERE page_id % 13 = 0
+  UNION ALL SELECT 'phishing', false, whole, page_id % 60 + 1, false FROM captures WHERE page_id % 26 = 0
+  UNION ALL SELECT 'stale', false, whole, page_id % 60 + 1, true FROM captures WHERE page_id % 17 = 0
+), daily AS (
+  SELECT list, allow, key, DATE '2024-01-01' + day::INTEGER AS day, bool_and(listed) AS listed FROM entries GROUP BY ALL
+), spans AS (
+  SELECT *, lead(day) OVER (PARTITION BY list, allow, key ORDER BY day) AS until FROM daily
+), found AS (
+  SELECT DISTINCT page_id, list, allow
+  FROM captures c JOIN spans s
+    ON listed AND c.day >= s.day AND (until IS NULL OR c.day < until)
+   AND (s.key = c.whole OR s.key = c.host OR ends_with(c.host, '.' || s.key))
+), named AS (
+  SELECT page_id, string_agg(list, ',' ORDER BY list) AS lists, NOT bool_or(allow) AS blocked FROM found GROUP BY page_id
+)
+SELECT page_id, host, coalesce(lists, '') AS lists, coalesce(blocked, false) AS blocked
+FROM captures LEFT JOIN named USING (page_id)
+"""
+
+ORACLE_SQL["op5_warc_revisits"] = f"""
+WITH base AS (
+  SELECT page_id AS n, {_URL} AS url, md5(html) AS digest FROM pages
+), responses AS (
+  SELECT n * 2 AS record_id, url, digest, n * 37 % 500 AS hour, substr(digest, 1, 8) AS tag FROM base WHERE n % 10 <> 9
+), revisits AS (
+  SELECT n * 2 + 1 AS record_id, url, n * 37 % 500 + n % 5 - 1 AS hour, 'max-age=' || n AS cache,
+         CASE WHEN n % 7 = 0 THEN 'other' ELSE 'W/' || substr(digest, 1, 8) END AS tag
+  FROM base
+), found AS (
+  SELECT v.record_id, v.url, v.tag, v.cache,
+         arg_max(r.record_id, (r.hour, r.record_id)) AS refers_to, arg_max(r.tag, (r.hour, r.record_id)) AS of_tag,
+         arg_max(r.digest, (r.hour, r.record_id)) AS digest
+  FROM revisits v LEFT JOIN responses r ON r.url = v.url AND r.hour < v.hour
+  GROUP BY v.record_id, v.url, v.tag, v.cache
+), judged AS (
+  SELECT *, CASE WHEN refers_to IS NULL THEN 'no response'
+                 WHEN regexp_replace(tag, '^W/', '') <> of_tag THEN 'mismatch' ELSE 'resolved' END AS outcome
+  FROM found
+)
+SELECT record_id, url, outcome, refers_to, CASE WHEN outcome = 'resolved' THEN digest END AS payload_digest,
+       tag AS etag, CASE WHEN outcome = 'resolved' THEN 'text/html' ELSE 'text/plain' END AS content_type,
+       cache AS cache_control
+FROM judged
+"""

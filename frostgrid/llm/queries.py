@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostgrid.llm.ann import nearest_neighbours
@@ -15,7 +16,10 @@ from frostgrid.llm.mixing import mix_sources
 from frostgrid.llm.oracle import ORACLE_SQL
 from frostgrid.llm.packing import pack_sequences, packed_matrices, token_pieces
 from frostgrid.llm.repeats import remove_repeats
+from frostgrid.llm.revisits import resolve_revisits
 from frostgrid.llm.simhash import simhash_groups
+from frostgrid.llm.url_filters import filter_captures
+from frostgrid.llm.urls import host_of
 from frostgrid.sources import read_table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -95,3 +99,69 @@ def op9_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest found for every hundredth vector."""
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries of five lists that name hosts, domains and URLs of ``pages``."""
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+
+    def entries(df: DataFrame, name: str, allow: bool, key: str, when: Column, at: Column, listed: bool) -> DataFrame:
+        return df.where(when).select(
+            F.lit(name).alias("list"), F.lit(allow).alias("allow"), F.col(key).alias("key"), day(at).alias("day"),
+            F.lit(listed).alias("listed"),
+        )
+
+    n = F.col("n")
+    hosts = pages.select("page_id", host_of("url").alias("host")).groupBy("host").agg(F.min("page_id").alias("n"))
+    domain = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    domains = hosts.groupBy(domain.alias("domain")).agg(F.min("n").alias("n"))
+    urls = pages.select("url", F.col("page_id").alias("n"))
+    parts = [
+        entries(hosts, "spam", False, "host", n % 3 == 0, n % 50, True),
+        entries(hosts, "spam", False, "host", n % 3 == 0, n % 50 + 10, False),
+        entries(hosts, "spam", False, "host", n % 6 == 0, n % 50 + 20, True),
+        entries(domains, "adult", False, "domain", n % 4 == 1, n % 30, True),
+        entries(hosts, "trusted", True, "host", n % 11 == 0, F.lit(5), True),
+        entries(hosts, "trusted", True, "host", n % 11 == 0, F.lit(40), False),
+        entries(urls, "phishing", False, "url", n % 13 == 0, n % 60, True),
+        entries(urls, "phishing", False, "url", n % 26 == 0, n % 60 + 1, False),
+        entries(urls, "stale", False, "url", n % 17 == 0, n % 60 + 1, True),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched on one of sixty days, against five lists as they stood on that day."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = pages.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 60).cast("int")))
+    judged = filter_captures(fetched, list_entries(pages), "page_id")
+    return judged.withColumn("lists", F.array_join("lists", ","))
+
+
+@query
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response and a later or earlier revisit for every page, the revisits resolved."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", F.md5("html").alias("digest"))
+    n = F.col("page_id")
+    hour = lambda h: F.timestamp_seconds(F.lit(1_704_067_200) + h * 3600)
+    fields = lambda *pairs: F.map_from_arrays(F.array(*map(F.lit, pairs[::2])), F.array(*pairs[1::2]))
+    responses = pages.select(
+        (n * 2).alias("record_id"), "url", hour(n * 37 % 500).alias("fetched"), F.lit("response").alias("kind"),
+        F.when(n % 10 == 9, 404).otherwise(200).alias("status"),
+        fields("ETag", F.substring("digest", 1, 8), "Content-Type", F.lit("text/html"), "Cache-Control", F.lit("max-age=60"))
+        .alias("headers"), F.col("digest").alias("payload_digest"),
+    )
+    revisits = pages.select(
+        (n * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"),
+        hour(n * 37 % 500 + n % 5 - 1).alias("fetched"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"),
+        fields(
+            "etag", F.when(n % 7 == 0, "other").otherwise(F.concat(F.lit("W/"), F.substring("digest", 1, 8))),
+            "content-type", F.lit("text/plain"), "cache-control", F.concat(F.lit("max-age="), n.cast("string")),
+        ).alias("headers"), F.lit(None).cast("string").alias("payload_digest"),
+    )
+    resolved = resolve_revisits(responses.unionByName(revisits))
+    return resolved.select(
+        "record_id", "url", "outcome", "refers_to", "payload_digest",
+        *[F.col("headers")[h].alias(h.replace("-", "_")) for h in ("etag", "content-type", "cache-control")],
+    )

