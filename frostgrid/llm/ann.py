@@ -39,7 +39,10 @@ def balanced_centroids(sample: np.ndarray, count: int) -> np.ndarray:
             low, high = part[order[:len(part) // 2]], part[order[len(part) // 2:]]
             a, b = high.mean(axis=0), low.mean(axis=0)
         parts += [low, high]
-    return np.unique(np.array(done), axis=0)
+    # In the order of halving, so that neighbours in number are mostly neighbours.
+    centroids = np.array(done)
+    _, first = np.unique(centroids, axis=0, return_index=True)
+    return centroids[np.sort(first)]
 
 
 class CentroidGraph:
@@ -105,8 +108,9 @@ def nearest_neighbours(
     Every row is then indexed: it goes to the list of its nearest centroid and,
     near a border, to a second one at most ``COPY_RATIO`` times as far. A query reads
     the lists of all centroids at most ``search_ratio`` times as far as its nearest. Both find
-    centroids by walking a graph held in memory. Long lists are cut into chunks
-    that are searched apart. If a query finds fewer than ``k`` rows there, all rows
+    centroids by walking a graph held in memory. Neighbouring lists are searched
+    in one task, which sends on at most ``k`` rows per query; where they hold more than
+    ``chunk_rows`` rows they are cut into chunks that are searched apart. If a query finds fewer than ``k`` rows there, all rows
     are searched for it.
     """
     rows = checkpointed(whole_vectors(vectors, id_col, vector_col, nonzero=True))
@@ -122,54 +126,69 @@ def nearest_neighbours(
     graph = CentroidGraph(balanced_centroids(sample, count))
     queries = rows.where(is_query)
 
-    def in_lists(ratio: float, copies: int | None):
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for at in range(0, len(batch), 256):
-                    part = batch.iloc[at:at + 256]
-                    row, node, distance = graph.within(as_matrix(part["vector"], width), ratio)
-                    if copies is not None:
-                        order = np.lexsort((node, distance, row))
-                        row, node = row[order], node[order]
-                        first = np.searchsorted(row, row)
-                        keep = np.arange(len(row)) - first < copies
-                        row, node = row[keep], node[keep]
-                    out = part.iloc[row].copy()
-                    out["list"] = node.astype(np.int64)
-                    yield out[["list", "vec_id", "vector"]]
-        return place
-
-    schema = "list bigint, vec_id bigint, vector array<double>"
-    members = checkpointed(rows.mapInPandas(in_lists(COPY_RATIO, COPIES), schema))
-    readers = queries.mapInPandas(in_lists(search_ratio, None), schema)
+    lists_per_task = max(chunk_rows // (list_rows * COPIES), 1)
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at:at + 256]
+                row, node, distance = graph.within(as_matrix(part["vector"], width), COPY_RATIO)
+                order = np.lexsort((node, distance, row))
+                row, node = row[order], node[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < COPIES
+                row, node = row[keep], node[keep]
+                out = part.iloc[row].copy()
+                out["list"] = node.astype(np.int64)
+                out["task"] = out["list"] // lists_per_task
+                yield out[["task", "list", "vec_id", "vector"]]
+
+    def reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at:at + 256]
+                row, node, _ = graph.within(as_matrix(part["vector"], width), search_ratio)
+                lists = pd.DataFrame({"row": row, "task": node // lists_per_task, "list": node})
+                of_task = lists.groupby(["row", "task"])["list"].agg(list).reset_index()
+                out = part.iloc[of_task["row"].to_numpy()].copy()
+                out["task"], out["lists"] = of_task["task"].to_numpy(), of_task["list"].to_list()
+                yield out[["task", "lists", "vec_id", "vector"]]
+
+    members = checkpointed(rows.mapInPandas(listed, "task bigint, list bigint, vec_id bigint, vector array<double>"))
+    readers = queries.mapInPandas(reading, "task bigint, lists array<bigint>, vec_id bigint, vector array<double>")
     # At most MOST_CENTROIDS numbers.
-    chunks = np.ones(len(graph.points), np.int64)
-    for row in members.groupBy("list").count().collect():
-        chunks[row["list"]] = -(-row["count"] // chunk_rows)
-    of_list = F.element_at(F.array(*map(F.lit, chunks.tolist())), (F.col("list") + 1).cast("int"))
-    if chunks.max() == 1:
-        of_list = F.lit(1)
-    in_chunk = members.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), of_list))
-    to_chunks = readers.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), (of_list - 1).cast("bigint"))))
+    chunks = np.ones(len(graph.points) // lists_per_task + 1, np.int64)
+    for row in members.groupBy("task").count().collect():
+        chunks[row["task"]] = -(-row["count"] // chunk_rows)
+    of_task = F.element_at(F.array(*map(F.lit, chunks.tolist())), (F.col("task") + 1).cast("int"))
+    in_chunk = members.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), of_task))
+    to_chunks = readers.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), (of_task - 1).cast("bigint"))))
 
     def nearest(chunk: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(chunk) and len(asking):
+            if "list" in chunk:
+                chunk = chunk.sort_values("list", kind="stable")
             ids, points = chunk["vec_id"].to_numpy(), as_matrix(chunk["vector"], width)
-            for query_id, query in zip(asking["vec_id"].to_list(), as_matrix(asking["vector"], width)):
-                distance = np.sqrt(((points - query) ** 2).sum(axis=1))
-                other = np.nonzero(ids != query_id)[0]
-                if len(other) > k:
-                    least = np.partition(distance[other], k - 1)[k - 1]
-                    other = other[distance[other] <= least]
-                order = other[np.lexsort((ids[other], distance[other]))[:k]]
-                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[order], "score": distance[order]}))
+            lists = asking["lists"] if "lists" in asking else [None] * len(asking)
+            for query_id, query, of in zip(asking["vec_id"].to_list(), as_matrix(asking["vector"], width), lists):
+                chosen = np.nonzero(ids != query_id)[0]
+                if of is not None:
+                    in_list = np.isin(chunk["list"].to_numpy()[chosen], of)
+                    chosen = chosen[in_list]
+                    # A vector of two of the lists counts once.
+                    chosen = chosen[np.unique(ids[chosen], return_index=True)[1]]
+                distance = np.sqrt(((points[chosen] - query) ** 2).sum(axis=1))
+                if len(chosen) > k:
+                    near = distance <= np.partition(distance, k - 1)[k - 1]
+                    chosen, distance = chosen[near], distance[near]
+                order = np.lexsort((ids[chosen], distance))[:k]
+                found.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[chosen[order]], "score": distance[order]}))
         if not found:
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return pd.concat(found)
 
     out = "query_id bigint, vec_id bigint, score double"
-    found = in_chunk.groupBy("list", "chunk").cogroup(to_chunks.groupBy("list", "chunk")).applyInPandas(nearest, out)
+    found = in_chunk.groupBy("task", "chunk").cogroup(to_chunks.groupBy("task", "chunk")).applyInPandas(nearest, out)
     result = checkpointed(_ranked(found, k))
 
     few = result.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1))
