@@ -18,13 +18,21 @@ UNIT_MICROS = {
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
+def duration_micros(duration: str) -> int:
+    """Microseconds in a duration such as ``"15 minutes"`` or ``"1 hour 30 minutes"``, which may be 0."""
+    words = duration.split()
+    amounts, units = words[::2], [unit.rstrip("s") for unit in words[1::2]]
+    if not units or len(amounts) != len(units) or not all(a.isdigit() for a in amounts) or not set(units) <= set(UNIT_MICROS):
+        raise ValueError(f"not a fixed step: {duration!r}")
+    return sum(int(amount) * UNIT_MICROS[unit] for amount, unit in zip(amounts, units))
+
+
 def step_micros(step: str) -> int:
-    """Microseconds in a fixed step such as ``"15 minutes"`` or ``"1 day"``."""
-    amount, _, unit = step.strip().partition(" ")
-    unit = unit.strip().rstrip("s")
-    if not amount.isdigit() or int(amount) == 0 or unit not in UNIT_MICROS:
+    """As :func:`duration_micros`, above 0."""
+    length = duration_micros(step)
+    if length == 0:
         raise ValueError(f"not a fixed step: {step!r}")
-    return int(amount) * UNIT_MICROS[unit]
+    return length
 
 
 def floor_div(value: Column, width: Column | int) -> Column:

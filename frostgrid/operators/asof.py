@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frostgrid.functions.time import micros, step_micros
+from frostgrid.functions.time import duration_micros, micros
 from frostgrid.operators.hot import HOT_ROWS, hot_groups, join_groups, without_hot
 from frostgrid.operators.running import cell_width, running
 
@@ -23,7 +23,7 @@ def as_of_join(
 
     Every left row is kept once. The right time and any right column whose
     name the left side has too get ``suffix``. A match older than ``tolerance``
-    counts as none. Of several right rows at one instant the one with the
+    counts as none; with ``"0 seconds"`` only one of the same instant counts. Of several right rows at one instant the one with the
     greatest ``tie_break`` is taken; without it their instants must differ.
 
     Both sides are stacked and read in time order, so no pair is ever formed:
@@ -74,7 +74,7 @@ def as_of_join(
 
     match: Column = F.col("__match")
     if tolerance is not None:
-        match = F.when(F.col("__us") - match["__us"] <= step_micros(tolerance), match)
+        match = F.when(F.col("__us") - match["__us"] <= duration_micros(tolerance), match)
     matched = matched.withColumn("__match", match).drop("__us")
     return matched.unionByName(unmatchable).select(
         *left.columns, *[F.col("__match")[names[c]].alias(names[c]) for c in payload]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -36,14 +34,16 @@ def build_session(app_name: str = "frostgrid", master: str | None = None, **sett
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting; it gets a folder of its own.
+    Where it is unset, on any master, a folder of the application's own under
+    the warehouse, which Spark removes when its JVM ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="frostgrid-")
+    own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/frostgrid-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return own
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

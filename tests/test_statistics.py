@@ -57,7 +57,7 @@ def test_rolling_zscore_after_a_large_value(spark):
     for hot_rows in (1_000_000, 1):
         got = rolling_zscore(frame(spark, READINGS, rows), "ts", ["key"], "value", "8 seconds", hot_rows=hot_rows)
         last = {r.id: r.zscore for r in got.collect()}
-        assert math.isclose(last[5], 2 / statistics.stdev([1, 2, 3, 4, 5]), rel_tol=1e-6 if hot_rows > 1 else 1e-3)
+        assert math.isclose(last[5], 2 / statistics.stdev([1, 2, 3, 4, 5]), rel_tol=1e-9)
 
 
 @pytest.mark.parametrize("width", [1, 7, 1000])
@@ -114,6 +114,31 @@ def test_quantile_profile_of_everything(spark, hot_rows):
     assert math.isclose(got.first()[0], expected)
 
 
+@pytest.mark.parametrize("hot_rows", [500, 30])
+def test_quantiles_do_not_depend_on_the_size_of_groups(spark, hot_rows):
+    rng = random.Random(12)
+    inf, nan = math.inf, math.nan
+    rows = [("inf", x) for x in [1.5] * 1000 + [inf] * 1000] + [("both", x) for x in [-inf] * 700 + [inf] * 701]
+    rows += [("nan", nan if i % 10 else rng.random()) for i in range(1500)] + [("all nan", nan)] * 900
+    rows += [("gauss", rng.gauss(0, 1)) for _ in range(3000)] + [("tied", float(i % 3)) for i in range(2000)]
+    rows += [("null", None)] * 600 + [("null", 4.0)] + [("one", 7.0)] + [("some nan", nan if i % 50 == 0 else i / 7) for i in range(3000)]
+    rows += [("zeros", -0.0 if i % 2 else 0.0) for i in range(800)]
+    probs = [0.0, 0.1, 0.33, 0.5, 0.77, 0.9, 0.979, 1.0]
+    df = frame(spark, "key string, value double", rows)
+    cold = sorted(map(repr, quantile_profile(df, ["key"], "value", probs).collect()))
+    assert sorted(map(repr, quantile_profile(df, ["key"], "value", probs, hot_rows=hot_rows).collect())) == cold
+    whole = spark.range(3000).select(F.lit("k").alias("key"), (F.lit(2**60) + F.col("id")).alias("value"))
+    cold = quantile_profile(whole, ["key"], "value", probs).collect()
+    assert quantile_profile(whole, ["key"], "value", probs, hot_rows=hot_rows).collect() == cold
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_quantiles_of_nothing(spark, exact):
+    none = frame(spark, "key string, value double", [])
+    assert [tuple(r) for r in quantile_profile(none, [], "value", [0.5], exact=exact).collect()] == [(None,)]
+    assert quantile_profile(none, ["key"], "value", [0.5], exact=exact).count() == 0
+
+
 def test_approximate_quantiles_keep_their_bound(spark):
     df = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("value"))
     values = np.sort([r.value for r in df.collect()])
