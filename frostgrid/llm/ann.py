@@ -119,9 +119,9 @@ def nearest_neighbours(
         return _ranked(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
     hashed = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
     chosen = rows.where(hashed < F.lit(int((1 << 30) * min(sample_rows / n, 1.0)))).orderBy("vec_id")
-    sample = as_matrix(chosen.toPandas()["vector"], width)
+    sample = _matrix_of(chosen, width)
     if not len(sample):
-        sample = as_matrix(rows.orderBy("vec_id").limit(1).toPandas()["vector"], width)
+        sample = _matrix_of(rows.orderBy("vec_id").limit(1), width)
     count = max(min(n // list_rows, MOST_CENTROIDS, len(sample) // 4), 1)
     graph = CentroidGraph(balanced_centroids(sample, count))
     queries = rows.where(is_query)
@@ -204,6 +204,15 @@ def nearest_neighbours(
     return whole.unionByName(_ranked(again, k))
 
 
+def _matrix_of(df: DataFrame, width: int) -> np.ndarray:
+    """The vectors of a table of bounded size, as rows."""
+    vectors = df.select("vector").toArrow().column("vector").combine_chunks()
+    flat = vectors.flatten().to_numpy()
+    if len(flat) == width * len(vectors):
+        return flat.reshape(-1, width)
+    return as_matrix(pd.Series([v.values.to_numpy() for v in vectors]), width)
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` first of each query, a vector from several lists once."""
     once = found.dropDuplicates(["query_id", "vec_id"])
