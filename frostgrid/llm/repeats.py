@@ -10,8 +10,10 @@ to tell each other goes by shards of the trigger:
 1. Each bucket sends the hashes of its triggers. A shard answers with those
    found in more than one document; all others begin no repeat.
 2. Each bucket sends its dictionary of phrases at such triggers. A shard merges
-   dictionaries, sorts the suffixes that can start a repeat to the depth of
-   ``length`` bytes, and finds the first document of every run of equal ones.
+   dictionaries, sorts the suffixes of ``length`` bytes or more, and finds the first
+   document of every run that agrees in so many. Only runs of equal strings
+   matter, so the order of the array is that of hashes, with a comparison of
+   the bytes themselves where two hashes are the same.
 3. Back in its bucket, the parse carries these to all places of a phrase, which
    are thereby in corpus order: a window goes if its first document is smaller.
 
@@ -37,6 +39,8 @@ BUCKET_BYTES = 4_000_000
 TASK_BYTES = 64_000_000
 CROWDED = 20_000
 CHUNK = 1 << 15
+# Triggers are told apart by 48 bits; a mistake costs some work and changes nothing.
+SHORT = np.uint64(16)
 NO_ID = np.iinfo(np.int64).max
 
 _BYTES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
@@ -174,8 +178,22 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema)
 
 
+def _packed(array: np.ndarray) -> bytes:
+    """An array compressed byte by byte: first the first bytes of all numbers, then the second ones."""
+    raw = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, kind: str) -> np.ndarray:
+    if not any(blob[:8]):
+        return np.zeros(0, kind)
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _blobs(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    return [_unpacked(x, kind) for x in table.column(name).to_pylist()]
 
 
 TRIGGERS = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("triggers", pa.binary()), ("seen", pa.binary())])
@@ -206,7 +224,7 @@ def triggers_of(phrases: Phrases, bucket: int, shards: int) -> pa.Table:
     trigger, seen = trigger[at], (seen + 128 * several).astype(np.uint8)
     bounds = np.searchsorted(_shard(trigger, shards), np.arange(shards + 1))
     return _rows(TRIGGERS, [
-        (s, bucket, trigger[a:b].tobytes(), seen[a:b].tobytes())
+        (s, bucket, _packed(trigger[a:b] >> SHORT), _packed(seen[a:b]))
         for s, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())) if a < b
     ])
 
@@ -230,7 +248,7 @@ def repeated_triggers(table: pa.Table, crowded: int) -> pa.Table:
         a, b = np.searchsorted(of, [i, i + 1])
         chosen = keep[a:b]
         if chosen.any():
-            rows.append((bucket, trigger[a:b][chosen].tobytes(), much[a:b][chosen].astype(np.uint8).tobytes()))
+            rows.append((bucket, _packed(trigger[a:b][chosen]), _packed(much[a:b][chosen].astype(np.uint8))))
     return _rows(REPEATED, rows)
 
 
@@ -247,7 +265,7 @@ def dictionary_of(phrases: Phrases, bucket: int, shards: int, repeated: pa.Table
     much = np.concatenate([np.zeros(0, np.uint8), *_blobs(repeated, "crowded", "u1")])
     order = np.argsort(known)
     known, much = known[order], much[order].astype(bool)
-    at, hit = _lookup(phrases.trigger, known)
+    at, hit = _lookup(phrases.trigger >> SHORT, known)
     kept = Phrases.__new__(Phrases)
     kept.__dict__.update(phrases.__dict__)
     for name in ("first", "last", "trigger", "key", "doc", "origin"):
@@ -271,9 +289,9 @@ def dictionary_of(phrases: Phrases, bucket: int, shards: int, repeated: pa.Table
     bounds = np.searchsorted(shard[at], np.arange(shards + 1))
     return _rows(DICTIONARY, [
         (
-            s, bucket, key[at[a:b]].tobytes(), first_id[a:b].tobytes(), sizes[a:b].tobytes(),
-            _gathered(cut.data, cut.first[chosen[a:b]], size[a:b]).tobytes(),
-            np.unique(cut.origin[chosen[a:b]][is_cut[chosen[a:b]]]).tobytes(),
+            s, bucket, _packed(key[at[a:b]]), _packed(first_id[a:b]), _packed(sizes[a:b]),
+            _packed(_gathered(cut.data, cut.first[chosen[a:b]], size[a:b])),
+            _packed(np.unique(cut.origin[chosen[a:b]][is_cut[chosen[a:b]]])),
         )
         for s, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())) if a < b
     ])
@@ -291,21 +309,31 @@ def first_documents(table: pa.Table, length: int) -> pa.Table:
     start = np.repeat(begin - ends + count, count) + np.arange(ends[-1])
     first = np.repeat(ids, count)
 
-    # Suffixes whose hash recurs are sorted to the full depth; equal neighbours are one string.
-    hashes = rolling_hash(data, length)[start]
-    ordered = np.sort(hashes)
-    _, again = _lookup(hashes, np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))
-    some = np.nonzero(again)[0]
-    if len(some):
-        words = [_words(data, start[some], length, k) for k in range(-(-length // 8))]
-        suffixes = np.lexsort((*words[::-1], hashes[some]))
-        new = np.zeros(len(some), bool)
-        new[0] = True
-        for word in (hashes[some], *words):
-            new[1:] |= word[suffixes][1:] != word[suffixes][:-1]
+    # Suffixes in the order of their hashes; those whose hash recurs are compared to the full depth.
+    hashes = np.concatenate([
+        rolling_hash(data[at:at + CHUNK + length - 1], length) for at in range(0, len(data) - length + 1, CHUNK)
+    ])[start]
+    suffixes = np.argsort(hashes)
+    equal = hashes[suffixes][1:] == hashes[suffixes][:-1]
+    recurs = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+    suffixes = suffixes[recurs]
+    if len(suffixes):
+        hashes = hashes[suffixes]
+        words = [_words(data, start[suffixes], length, k) for k in range(-(-length // 8))]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        differ = np.zeros(len(new), bool)
+        for word in words:
+            differ[1:] |= word[1:] != word[:-1]
+        if (differ & ~new).any():
+            # Different strings of one hash: only now the bytes decide the order.
+            order = np.lexsort((*words[::-1], hashes))
+            suffixes, new = suffixes[order], np.zeros(len(new), bool)
+            new[0] = True
+            for word in (hashes, *words):
+                new[1:] |= word[order][1:] != word[order][:-1]
         at = np.nonzero(new)[0]
-        least = np.minimum.reduceat(first[some[suffixes]], at)
-        first[some[suffixes]] = np.repeat(least, np.diff(np.append(at, len(some))))
+        least = np.minimum.reduceat(first[suffixes], at)
+        first[suffixes] = np.repeat(least, np.diff(np.append(at, len(suffixes))))
 
     change = np.ones(len(first), bool)
     change[1:] = first[1:] != first[:-1]
@@ -315,14 +343,13 @@ def first_documents(table: pa.Table, length: int) -> pa.Table:
     of = np.searchsorted(ends, run, side="right")
     rows, a, r = [], 0, 0
     runs = np.bincount(of, minlength=len(sizes))
-    for bucket, mine, origins in zip(
-        table.column("bucket").to_pylist(), keys, table.column("origins").to_pylist()
-    ):
+    sent = (table.column(name).to_pylist() for name in ("bucket", "keys", "origins"))
+    for bucket, packed, origins, mine in zip(*sent, keys):
         b = a + len(mine)
         n = int(runs[a:b].sum())
         rows.append((
-            bucket, mine.tobytes(), runs[a:b].astype("<u2").tobytes(), windows[r:r + n].astype("<u2").tobytes(),
-            first[run[r:r + n]].tobytes(), cut[a:b].astype(np.uint8).tobytes(), origins,
+            bucket, packed, _packed(runs[a:b].astype("<u2")), _packed(windows[r:r + n].astype("<u2")),
+            _packed(first[run[r:r + n]]), _packed(cut[a:b].astype(np.uint8)), origins,
         ))
         a, r = b, r + n
     return _rows(FOUND, rows)
