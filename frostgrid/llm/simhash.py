@@ -21,6 +21,8 @@ SAMPLE_ROWS = 4096
 LEAF_ROWS = 32768
 CHUNK_ROWS = 131072
 INNER_ROWS = 128
+# Queries that walk the tree of a task at once; each reaches some dozens of its leaves.
+SEARCH_ROWS = 8192
 MOST_LEVELS = 16
 BITS = 64
 
@@ -144,8 +146,8 @@ def stars_in_leaf(homes: np.ndarray, queries: np.ndarray, reach: int) -> tuple[n
         order = np.argsort(home)
         homes, home = homes[order], home[order]
         at_h, at_q = np.searchsorted(points, homes), np.searchsorted(points, queries)
-        for part in range(0, len(queries), CHUNK_ROWS):
-            index, leaf = tree.reached(queries[part:part + CHUNK_ROWS], reach)
+        for part in range(0, len(queries), SEARCH_ROWS):
+            index, leaf = tree.reached(queries[part:part + SEARCH_ROWS], reach)
             order = np.argsort(leaf)
             index, leaf = index[order] + part, leaf[order]
             for one in np.unique(home):
