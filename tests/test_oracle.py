@@ -8,7 +8,7 @@ from tests.oracle import canonical, run_sql
 SF_DIR = "/root/testdata/sf0.01"
 SPARK_TO_DUCKDB = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
-    "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+    "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE",
 }
 
 

@@ -43,7 +43,7 @@ def test_scans_read_only_needed_columns(plans, name):
 
 
 def test_filters_reach_the_scan(plans):
-    for name in ("as_of", "overlap_by_user", "overlap_any_user"):
+    for name in ("as_of", "overlap_by_user", "overlap_counts_any_user"):
         assert plans[name].count("EqualTo(event_type,") >= 2
 
 

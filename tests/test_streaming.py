@@ -7,7 +7,7 @@ import pytest
 from frostgrid.functions import count, high
 from frostgrid.operators import resample
 from frostgrid.sources import stream_table
-from frostgrid.streaming import append_to_parquet, stream_resample
+from frostgrid.streaming import append_to_parquet, rows_dropped, stream_resample, with_open_buckets
 from tests.frames import at, frame, ordered, rows_of
 
 SCHEMA = "key string, ts timestamp_ntz, value double"
@@ -56,3 +56,21 @@ def test_stream_agrees_with_batch_in_any_time_zone(spark, tmp_path, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert streamed == batch[:-1] and len(streamed) == 8
+
+
+def test_open_buckets_and_dropped_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [("a", at(5), 1.0), ("b", at(70), 2.0)], [("a", at(300), 3.0), (None, at(301), 5.0)], [("a", at(6), 9.0), ("c", at(310), 4.0)]
+    for batch in rows:
+        add_file(spark, folder, batch)
+        stream = stream_table(spark, folder, "events", max_files_per_trigger=1)
+        buckets = stream_resample(stream, "ts", ["key"], "1 minute", "30 seconds", AGGS)
+        query = append_to_parquet(buckets, f"{folder}/out", f"{folder}/progress")
+        query.awaitTermination()
+    assert rows_dropped(query) == 1
+    closed = spark.read.schema(buckets.schema).parquet(f"{folder}/out")
+    got = with_open_buckets(closed, spark.read.parquet(f"{folder}/events.parquet"), "ts", ["key"], "1 minute", AGGS)
+    assert rows_of(got) == ordered([
+        ("a", at(0), 1, 1.0, True), ("b", at(60), 1, 2.0, True), ("a", at(300), 1, 3.0, False),
+        (None, at(300), 1, 5.0, False), ("c", at(300), 1, 4.0, False),
+    ])
