@@ -136,3 +136,44 @@ SELECT record_id, url, outcome, refers_to, CASE WHEN outcome = 'resolved' THEN d
        cache AS cache_control
 FROM judged
 """
+
+ORACLE_SQL["op1_suffix_array_dedup"] = """
+WITH docs AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS data, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(n - 49)) AS i FROM docs WHERE n >= 50
+), strings AS (
+  SELECT doc_id, i, data[i + 1 : i + 50] AS string FROM places JOIN docs USING (doc_id)
+), firsts AS (
+  SELECT string, min(doc_id) AS first_id FROM strings GROUP BY string HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT doc_id, i FROM strings JOIN firsts USING (string) WHERE first_id < doc_id
+), marked AS (
+  SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM gone
+), numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span
+), ends AS (
+  SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n, n FROM docs
+), pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS since FROM ends
+)
+SELECT doc_id, any_value(n) AS n_bytes, sum(b - a)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+       sha256(unhex(string_agg(hex(data[since + 1 : a]), '' ORDER BY a, b))) AS kept_sha256
+FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE_SQL["op9_maxscore_top_k"] = """
+WITH parts AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS d FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+), vectors AS (
+  SELECT vec_id, list(floor(64 * x) ORDER BY d) AS v FROM parts GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x))
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scores QUALIFY rank <= 20
+"""
