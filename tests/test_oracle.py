@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from frostgrid.plans import ORACLE_SQL
 from tests.oracle import canonical, run_sql
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -12,7 +13,7 @@ SPARK_TO_DUCKDB = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_agrees_with_sql(spark, name):
     df = entry.queries()[name](spark, SF_DIR)
     names, types, expected = run_sql(entry.oracle_sql()[name], SF_DIR)

@@ -4,12 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from frostgrid.plans import queries as registered
 from frostgrid.plans.oracle import SMALL_LIMITS
 
 SF_DIR = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in entry.queries() if n != "stream_resample_daily" and not n.endswith(SMALL_LIMITS))
+BATCH = sorted(n for n in registered.QUERIES if n != "stream_resample_daily" and not n.endswith(SMALL_LIMITS))
 
 
 def plan_of(df):
@@ -22,7 +21,7 @@ def plans(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        yield {name: plan_of(entry.queries()[name](spark, SF_DIR)) for name in BATCH}
+        yield {name: plan_of(registered.QUERIES[name](spark, SF_DIR)) for name in BATCH}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
