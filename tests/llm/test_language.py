@@ -131,3 +131,23 @@ def test_markup_pages(spark, model):
     )
     agree = found.join(df.select(F.col("page_id").alias("doc_id"), "tag"), "doc_id").where("language = tag").count()
     assert agree >= 0.8 * df.count()
+
+
+@pytest.mark.parametrize("rows_for_broadcast", [10_000, 0])
+def test_every_label_has_its_own_quota(spark, monkeypatch, rows_for_broadcast):
+    monkeypatch.setattr("frostgrid.llm.common.BROADCAST_ROWS", rows_for_broadcast)
+    rare = "zxq qxz vvk kkv zzx xqq " * 3
+    rows = [(i, f"{ENGLISH} {i}", "en", "a") for i in range(3000)] + [(i, f"{GERMAN} {i}", "de", "a") for i in range(3000, 4000)]
+    rows += [(4000 + i, f"{rare} {i}", "tlh", "b") for i in range(5)] + [(5000, "yy ww yy ww", "sw", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    model = fit_text_model(df, sample_rows=100)
+    assert model.languages == ["de", "en", "sw", "tlh"]
+    # A rare label is read in full.
+    count = lambda texts: sum(trigrams(t.encode()) for t in texts)
+    whole = TextModel({"tlh": count([r[1] for r in rows if r[2] == "tlh"]), "sw": count(["yy ww yy ww"])})
+    for name in whole.languages:
+        assert np.allclose(model.log_probability[model.languages.index(name)], whole.log_probability[whole.languages.index(name)])
+    found = {r.doc_id: (r.language, r.accepted) for r in identify_language(df, model).collect()}
+    assert all(found[r[0]] == ("tlh", True) for r in rows if r[2] == "tlh") and found[0] == ("en", True)
+    # With a quota of one, a label is still never without a text.
+    assert fit_text_model(df, sample_rows=1).languages == model.languages
