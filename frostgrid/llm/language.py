@@ -53,6 +53,13 @@ def as_language(declared: str | Column) -> Column:
     return F.when(tag != "", tag)
 
 
+def markup_language(html: str | Column) -> Column:
+    """What the ``lang`` or ``xml:lang`` of the ``html`` element declares; null where there is none."""
+    column = F.col(html) if isinstance(html, str) else html
+    tag = F.regexp_extract(column, r"""(?i)<html(?=\s)[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([A-Za-z0-9_-]+)""", 1)
+    return F.when(tag != "", tag)
+
+
 def fit_text_model(
     docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS
 ) -> TextModel:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostgrid.llm.ann import nearest_neighbours
-from frostgrid.llm.language import fit_text_model, identify_language
+from frostgrid.llm.language import fit_text_model, identify_language, markup_language
 from frostgrid.llm.maxscore import inner_product_top_k
 from frostgrid.llm.mixing import mix_sources
 from frostgrid.llm.oracle import ORACLE_SQL
@@ -19,7 +19,7 @@ from frostgrid.llm.repeats import remove_repeats
 from frostgrid.llm.revisits import resolve_revisits
 from frostgrid.llm.simhash import simhash_groups
 from frostgrid.llm.url_filters import filter_captures
-from frostgrid.llm.urls import host_of
+from frostgrid.llm.urls import domain_of, host_of, suffix_of
 from frostgrid.sources import read_table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -77,10 +77,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, from its text, its declared language and its source."""
+    """The language of every document and of every page.
+
+    A document is judged by its text, its declared language and its source. It
+    has no URL, and so neither a domain above its host nor an address suffix.
+    A page is judged by its whole html, the language its markup declares, its
+    host, the domain above that and the suffix; its text model is fitted to
+    pages, whose markup would pass for noise among documents. ``doc_id`` is
+    null for pages, ``page_id`` for documents.
+    """
     docs = read_table(spark, sf_dir, "documents")
-    found = identify_language(docs, fit_text_model(docs))
-    return found.withColumn("posterior", F.round("posterior", 6))
+    of_docs = identify_language(docs, fit_text_model(docs)).withColumn("page_id", F.lit(None).cast("bigint"))
+    pages = read_table(spark, sf_dir, "pages").select(
+        "page_id", "html", markup_language("html").alias("declared"), host_of("url").alias("host")
+    )
+    placed = pages.withColumns({"domain": domain_of("host"), "suffix": suffix_of("host")})
+    of_pages = identify_language(
+        placed, fit_text_model(placed, "html", "declared"), "page_id", text_col="html", declared_col="declared",
+        host_col="host", domain_col="domain", suffix_col="suffix",
+    )
+    of_pages = of_pages.withColumns({"page_id": F.col("doc_id"), "doc_id": F.lit(None).cast("bigint")})
+    return of_docs.unionByName(of_pages).withColumn("posterior", F.round("posterior", 6))
 
 
 @query

@@ -17,6 +17,23 @@ def host_of(url: str | Column) -> Column:
     return F.when(host != "", host)
 
 
+def _is_name(host: Column) -> Column:
+    """Whether a host is a name with a dot, not an address of numbers."""
+    return host.contains(".") & ~host.rlike(r"^[0-9.]+$|[:\[\]]")
+
+
+def domain_of(host: str | Column) -> Column:
+    """The last two labels of a host, null for addresses of numbers and names without a dot."""
+    host = F.col(host) if isinstance(host, str) else host
+    return F.when(_is_name(host), F.substring_index(host, ".", -2))
+
+
+def suffix_of(host: str | Column) -> Column:
+    """The last label of a host, null as in :func:`domain_of`."""
+    host = F.col(host) if isinstance(host, str) else host
+    return F.when(_is_name(host), F.substring_index(host, ".", -1))
+
+
 def canonical_url(url: str | Column) -> Column:
     """Scheme and host in lower case, no user, default port or fragment, and ``/`` for an empty path."""
     url = F.col(url) if isinstance(url, str) else url

@@ -1,10 +1,14 @@
 import math
+import re
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frostgrid.llm.language import UNKNOWN, TextModel, fit_text_model, identify_language, trigrams
+from frostgrid.llm.language import UNKNOWN, TextModel, fit_text_model, identify_language, markup_language, trigrams
+from frostgrid.llm.queries import QUERIES
+from frostgrid.llm.urls import domain_of, host_of, suffix_of
 from frostgrid.sources import read_table
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -151,3 +155,35 @@ def test_every_label_has_its_own_quota(spark, monkeypatch, rows_for_broadcast):
     assert all(found[r[0]] == ("tlh", True) for r in rows if r[2] == "tlh") and found[0] == ("en", True)
     # With a quota of one, a label is still never without a text.
     assert fit_text_model(df, sample_rows=1).languages == model.languages
+
+
+def test_query_judges_documents_and_pages_by_all_evidence(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    found = QUERIES["op6_language_id"](spark, sf_dir).collect()
+    docs, pages = (read_table(spark, sf_dir, t) for t in ("documents", "pages"))
+    assert sorted(r.doc_id for r in found if r.page_id is None) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    rows = []
+    for r in pages.collect():
+        host = urlsplit(r.url).hostname
+        tag = re.search(r'<html lang="([^"]*)"', r.html)
+        rows.append((r.page_id, r.html, tag and tag[1], host, ".".join(host.split(".")[-2:]), host.split(".")[-1]))
+    model = fit_text_model(spark.createDataFrame([(r[1], r[2]) for r in rows], "text string, lang string"))
+    got = sorted((r.page_id, r.language, r.posterior, r.accepted) for r in found if r.doc_id is None)
+    wanted = plain(rows, model)
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in sorted(wanted)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(wanted)], atol=2e-6)
+    agree = sum(g[1] == r[2] for g, r in zip(got, sorted(rows)))
+    assert agree >= 0.95 * len(rows)
+
+
+def test_evidence_of_a_page(spark):
+    rows = [
+        ('<!DOCTYPE html>\n<HTML class="a" LANG=\'de-AT\'>', "https://u@M.Shop.Example.at:80/x", "de-AT", "m.shop.example.at", "example.at", "at"),
+        ('<html data-lang="xx" xml:lang=fr dir=ltr>', "http://example.fr", "fr", "example.fr", "example.fr", "fr"),
+        ('<html><p lang="es">', "http://10.0.0.1/a", None, "10.0.0.1", None, None), (None, "localhost", None, None, None, None),
+        ('<html lang="">', "http://localhost/", None, "localhost", None, None), ("<htmlx lang=en>", "http://[::1.2]/", None, "[::1.2]", None, None),
+    ]
+    df = spark.createDataFrame([r[:2] for r in rows], "html string, url string")
+    host = host_of("url")
+    got = df.select("html", "url", markup_language("html"), host, domain_of(host), suffix_of(host)).collect()
+    assert [tuple(r) for r in got] == rows
