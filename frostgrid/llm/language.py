@@ -63,25 +63,27 @@ def markup_language(html: str | Column) -> Column:
 def fit_text_model(
     docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample_rows: int = SAMPLE_ROWS
 ) -> TextModel:
-    """Fit on about ``sample_rows`` rows of every label, chosen by a hash of their text, each read whole.
-
-    Labels and their numbers of rows come from all rows. A label of up to
-    ``sample_rows`` rows is read in full; of a larger one the share
-    ``sample_rows`` / rows is drawn, and always the text with the least hash, so
-    every label of the table is a class, however rare. Counts are made per
-    label and part of the sample and summed; the driver gets, for each label,
-    its number of rows and up to eight vectors of ``FEATURES`` numbers.
+    """Fit on about ``sample_rows`` texts of every label, chosen by their hash, each read whole and once.
+
+    Labels and their numbers of distinct texts come from all rows. A label of
+    up to ``sample_rows`` texts is read in full; of a larger one the share
+    ``sample_rows`` / texts is drawn, and always the text with the least hash,
+    so every label of the table is a class, however rare. Copies count as one
+    text, so that none of them outweighs the others. Counts are made per label
+    and part of the sample and summed; the driver gets, for each label, up to
+    eight vectors of ``FEATURES`` numbers.
     """
     labelled = docs.select(as_language(label_col).alias("label"), F.col(text_col).cast("binary").alias("text")).where(
         F.col("label").isNotNull() & F.col("text").isNotNull() & (F.col("label") != UNKNOWN)
     )
     parts = 1 << 40
-    labelled = labelled.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
+    labelled = labelled.withColumn("hash", F.xxhash64("text")).withColumn("part", F.pmod("hash", F.lit(parts)))
     quota = F.least(F.lit(1.0), F.lit(float(sample_rows)) / F.count(F.lit(1)))
     last = F.greatest(F.min("part"), (quota * parts).cast("bigint") - 1)
-    labels = checkpointed(labelled.groupBy("label").agg(last.alias("last")))
-    drawn = join_lookup(labelled, labels, "label", F.col("text"), "inner")
-    sample = drawn.where(F.col("part") <= F.col("last")).drop("last")
+    texts = labelled.select("label", "hash", "part").distinct()
+    labels = checkpointed(texts.groupBy("label").agg(last.alias("last")))
+    drawn = join_lookup(labelled, labels, "label", F.col("text"), "inner").where(F.col("part") <= F.col("last"))
+    sample = drawn.groupBy("label", "part", "hash").agg(F.min("text").alias("text"))
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum((trigrams(t) for t in rows["text"]), np.zeros(FEATURES, np.int64))

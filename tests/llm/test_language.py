@@ -187,3 +187,11 @@ def test_evidence_of_a_page(spark):
     host = host_of("url")
     got = df.select("html", "url", markup_language("html"), host, domain_of(host), suffix_of(host)).collect()
     assert [tuple(r) for r in got] == rows
+
+
+def test_copies_count_once_in_the_sample(spark):
+    rows = [(i, ENGLISH if i % 3 else f"{GERMAN} {i % 30}", "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit_text_model(df, sample_rows=100)
+    once = TextModel({"en": sum(trigrams(t.encode()) for t in {r[1] for r in rows})})
+    assert np.allclose(model.log_probability, once.log_probability)
