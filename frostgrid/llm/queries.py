@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostgrid.llm.ann import nearest_neighbours
+from frostgrid.llm.harmonic import harmonic_sequences
 from frostgrid.llm.language import fit_text_model, identify_language, markup_language
 from frostgrid.llm.maxscore import inner_product_top_k
 from frostgrid.llm.mixing import mix_sources
@@ -118,6 +119,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text()
+
+
+@query
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces in sequences of at most 2048 tokens, hardly padded."""
+    placed = harmonic_sequences(read_table(spark, sf_dir, "documents"), byte_tokenizer())
+    return placed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries of five lists that name hosts, domains and URLs of ``pages``."""
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))

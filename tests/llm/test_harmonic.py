@@ -1,0 +1,124 @@
+import functools
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from frostgrid.llm.byte_tokens import ByteEncoder
+from frostgrid.llm.harmonic import HarmonicBins, harmonic_cuts, harmonic_sequences
+from frostgrid.llm.queries import QUERIES, byte_tokenizer
+from frostgrid.sources import read_table
+
+SF_DIR = "/root/testdata/sf0.01"
+SCHEMA = "doc_id bigint, text string, start int, sequence_id string, ids string"
+ODD = [
+    (0, ""), (1, None), (2, "a"), (3, "word " * 5000), (3, "word " * 5000), (None, "no id"), (None, None),
+    (4, "it's 12½ <|endoftext|> don't\n\n\n  x\t  'll 日本   é́"), (5, "x" * 40_000), (6, " \x1c \x85  ."),
+]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_str(byte_tokenizer())
+
+
+def check(rows, docs, tokenizer, seq_len=2048, end_id=1):
+    """Every id in one piece, pieces gapless in sequences; returns (ids, padding)."""
+    wanted = defaultdict(int)
+    for doc_id, text in docs:
+        wanted[doc_id, tuple(tokenizer.encode(text or "", add_special_tokens=False).ids) + (end_id,)] += 1
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert r.length > 0 and 0 <= r.start and r.start + r.length <= r.doc_tokens
+        sequences[r.sequence_id].append(r)
+        pieces[r.doc_id].append(r)
+    padding = 0
+    for members in sequences.values():
+        at = 0
+        for r in sorted(members, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= seq_len
+        padding += 0 if at & (at - 1) == 0 else seq_len - at
+    for (doc_id, ids), copies in wanted.items():
+        spans = sorted((r.start, r.length, r.ids_crc32) for r in pieces[doc_id] if r.doc_tokens == len(ids))
+        data = np.array(ids, "<u4")
+        mine = [s for s in spans if zlib.crc32(data[s[0]:s[0] + s[1]].tobytes()) == s[2]]
+        covered = np.zeros(len(ids), int)
+        for start, length, _ in mine:
+            covered[start:start + length] += 1
+        assert (covered == copies).all(), doc_id
+    total = sum(len(ids) * n for (_, ids), n in wanted.items())
+    assert total == sum(r.length for r in rows)
+    return total, padding
+
+
+def with_crc(df):
+    return df.selectExpr("*", "crc32(ids) as ids_crc32").collect()
+
+
+def test_documents(spark, tokenizer):
+    docs = [(r.doc_id, r.text) for r in read_table(spark, SF_DIR, "documents").collect()]
+    total, padding = check(QUERIES["op12_harmonic_packing"](spark, SF_DIR).collect(), docs, tokenizer)
+    assert padding < 0.01 * total
+
+
+@pytest.mark.parametrize("seq_len", [7, 64, 2048])
+def test_odd_rows_over_several_tasks(spark, tokenizer, seq_len):
+    frame = spark.createDataFrame([(i, t, 0, "x", "y") for i, t in ODD], SCHEMA).repartition(3)
+    rows = with_crc(harmonic_sequences(frame, byte_tokenizer(), seq_len))
+    check(rows, ODD, tokenizer, seq_len)
+    assert with_crc(harmonic_sequences(frame.where("false"), byte_tokenizer())) == []
+
+
+def test_encoder_agrees_with_the_tokenizer(spark, tokenizer):
+    texts = [t or "" for _, t in ODD] + [r.text for r in read_table(spark, SF_DIR, "documents").limit(400).collect()]
+    for text, ids in zip(texts, ByteEncoder(byte_tokenizer()).encode_all(texts)):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def both_encoders():
+    return Tokenizer.from_str(byte_tokenizer()), ByteEncoder(byte_tokenizer())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab Z'sltrevmd19½.,!-\n\t\r\x0b\x1c\x85\xa0é日²ª<|endoftext>"), max_size=40), max_size=6))
+def test_encoder_on_any_text(texts):
+    tokenizer, encoder = both_encoders()
+    assert [ids.tolist() for ids in encoder.encode_all(texts)] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 20_000), st.integers(1, 2048), st.integers(0, 64))
+def test_cuts_fill_the_bins_of_their_class(tokens, seq_len, slack):
+    cuts = harmonic_cuts(tokens, seq_len, slack)
+    assert sum(cuts) == tokens and all(0 < c <= seq_len for c in cuts)
+    for c in cuts[:-1]:
+        # A piece cut for class k leaves less than k ids of a bin empty.
+        assert seq_len - c * (seq_len // c) < seq_len // c
+    assert seq_len - cuts[-1] * (seq_len // cuts[-1]) <= max(slack, seq_len // cuts[-1])
+
+
+def test_bins_take_a_fixed_number_and_the_rest_is_not_padded():
+    rng = np.random.default_rng(3)
+    bins, closed, total = HarmonicBins(256), [], 0
+    for i in range(2000):
+        n = int(rng.integers(1, 257))
+        total += n
+        full = bins.put((i, 0, np.arange(n), n))
+        if full:
+            k = 256 // n
+            assert len(full) == k and all(256 // len(p[2]) == k for p in full)
+            closed.append(full)
+    rest = list(bins.rest())
+    lengths = [sum(len(p[2]) for p in members) for members in rest]
+    assert all(n & (n - 1) == 0 for n in lengths) and sum(n != 256 for n in lengths) <= 8
+    assert total == sum(len(p[2]) for members in closed + rest for p in members)
+    assert list(bins.rest()) == []
