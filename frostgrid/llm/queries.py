@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostgrid.llm.ann import nearest_neighbours
+from frostgrid.llm.hard_negatives import hard_negatives
 from frostgrid.llm.harmonic import harmonic_sequences
 from frostgrid.llm.language import fit_text_model, identify_language, markup_language
 from frostgrid.llm.maxscore import inner_product_top_k
@@ -119,6 +120,14 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each positive of every fiftieth vector, every seventh labelled as the next class."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
 def byte_tokenizer() -> str:
     import public_tokenizers
 
