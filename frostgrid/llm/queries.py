@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from hashlib import sha256
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostgrid.llm.ann import nearest_neighbours
+from frostgrid.llm.conversations import conversation_digests, repair_conversations
 from frostgrid.llm.hard_negatives import hard_negatives
 from frostgrid.llm.harmonic import harmonic_sequences
 from frostgrid.llm.language import fit_text_model, identify_language, markup_language
@@ -143,6 +145,27 @@ def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of which some are dropped, emptied, cut, repeated or given to the user, by a checksum of their key."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(text_of("text"), ".!?", "")).otherwise(text_of("text"))
+    role = F.when(fault == 4, "user").otherwise(text_of("role"))
+    copies = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    changed = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copies"))
+    return changed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copy", "copies")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, its turns damaged, with its faults and the cheapest repair."""
+    turns = read_table(spark, sf_dir, "conversations")
+    digests = conversation_digests(repair_conversations(damaged(turns))).withColumnRenamed("conv_id", "of_id")
+    every = turns.select("conv_id").distinct().join(digests, F.col("conv_id").eqNullSafe(F.col("of_id")), "left").drop("of_id")
+    zeros = dict.fromkeys(["gaps", "blank", "duplicate", "truncated", "illegal", "cost"], 0)
+    return every.na.fill({**zeros, "audit": "", "repaired_sha256": sha256(b"").hexdigest()})
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """Dated entries of five lists that name hosts, domains and URLs of ``pages``."""
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
