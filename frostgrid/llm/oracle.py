@@ -200,3 +200,74 @@ FROM positives JOIN scores USING (anchor_id)
 WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
 QUALIFY rank <= 3
 """
+
+_BLANKS = r"\x20\x09-\x0D"
+
+ORACLE_SQL["op13_conversation_repair"] = f"""
+WITH RECURSIVE bytes AS (
+  SELECT list(list_reduce([n, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY n) AS crcs
+  FROM (SELECT unnest(range(256))::BIGINT AS n)
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                        lambda c: ord(c)::BIGINT) AS key
+  FROM conversations
+), chosen AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, key), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])),
+                4294967295) % 20 AS fault
+  FROM keyed, bytes
+), damaged AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+  FROM chosen
+), placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM damaged
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+         regexp_extract(text, '([^{_BLANKS}])[{_BLANKS}]*$', 1) AS ending,
+         lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+  FROM placed
+), judged AS (
+  SELECT conv_id, turn, role, text, pos, ending = '' AS blank, ending <> '' AND again AS duplicate,
+         ending NOT IN ('', '.', '!', '?') AND NOT again AS truncated,
+         before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au') AS illegal
+  FROM seen
+), inserted(a, b, n, roles) AS (
+  VALUES (0, 0, 0, []::VARCHAR[]), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 1, ['user:']),
+         (1, 2, 1, ['user:']), (2, 3, 1, ['assistant:']), (3, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']),
+         (1, 3, 2, ['user:', 'assistant:'])
+), edits(letter, price, a, b, initial, name) AS (
+  VALUES ('D', 2, 0, 0, '', ''), ('D', 2, 1, 1, '', ''), ('D', 2, 2, 2, '', ''), ('D', 2, 3, 3, '', ''),
+         ('K', 0, 0, 1, 's', ''), ('K', 0, 0, 2, 'u', ''), ('K', 0, 1, 2, 'u', ''), ('K', 0, 2, 3, 'a', ''),
+         ('K', 0, 3, 2, 'u', ''), ('R', 1, 0, 2, '', 'user'), ('R', 1, 1, 2, '', 'user'), ('R', 1, 2, 3, '', 'assistant'),
+         ('R', 1, 3, 2, '', 'user')
+), walk(conv_id, pos, state, best) AS (
+  SELECT conv_id, 0::BIGINT, b, struct_pack(cost := 5 * n::BIGINT, audit := repeat('I', n), lines := roles)
+  FROM (SELECT DISTINCT conv_id FROM judged), inserted WHERE a = 0
+  UNION ALL
+  SELECT w.conv_id, j.pos, i.b, min(struct_pack(
+           cost := w.best.cost + e.price + 5 * i.n + CASE WHEN e.letter <> 'D' AND j.truncated THEN 5 ELSE 0 END,
+           audit := w.best.audit || e.letter || repeat('I', i.n),
+           lines := list_concat(w.best.lines, CASE e.letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [j.role || ':' || j.text]
+                                              ELSE [e.name || ':' || j.text] END, i.roles)))
+  FROM walk w
+  JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.pos = w.pos + 1
+  JOIN edits e ON e.a = w.state AND (e.letter = 'D' OR NOT (j.blank OR j.duplicate)) AND (e.letter <> 'K' OR e.initial = j.role[1])
+  JOIN inserted i ON i.a = e.b
+  GROUP BY w.conv_id, j.pos, i.b
+), totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count_if(blank)::BIGINT AS blank, count_if(duplicate)::BIGINT AS duplicate, count_if(truncated)::BIGINT AS truncated,
+         count_if(illegal)::BIGINT AS illegal, max(pos) AS rows
+  FROM judged GROUP BY conv_id
+), repaired AS (
+  SELECT t.*, min(w.best) AS best
+  FROM totals t JOIN walk w ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.pos = t.rows AND w.state IN (0, 3) GROUP BY ALL
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
