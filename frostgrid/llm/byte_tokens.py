@@ -9,67 +9,64 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from frostgrid.llm.tokens import _LETTERS, _NUMBERS, _SPACES, GROUP_WORDS, WordEncoder
+from frostgrid.llm.tokens import _OTHER_CHARACTERS
 
 _ENCODERS: dict[int, ByteEncoder] = {}
 
+# Fixed value: how a byte-level tokenizer file splits texts into words.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-class ByteEncoder(WordEncoder):
-    """As :class:`WordEncoder`, for files that split texts at the borders of letters, numbers and signs.
 
-    Such a file keeps case and white space; a word brings the blank before it.
-    A word alone is split as it was in its text, so it is encoded once.
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: itself if it can be seen, else a number from 256."""
+    seen = [b for b in range(256) if 33 <= b < 127 or 161 <= b != 173]
+    hidden = [b for b in range(256) if b not in seen]
+    return {**{chr(b): b for b in seen}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
+
+
+class ByteEncoder:
+    """Encodes texts as the file's own tokenizer does, by a faster library that merges bytes by rank.
+
+    In such a file a token's id is its rank, so the vocabulary is all that is
+    needed. A text with special tokens or with characters that the two
+    libraries may class unlike goes to the tokenizer, as do all texts if the
+    file splits or numbers otherwise.
     """
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
         spec = json.loads(content)
-        split = spec.get("pre_tokenizer") or {}
-        self.by_word = (
-            spec.get("normalizer") is None and split.get("type") == "ByteLevel"
-            and split.get("use_regex", True) and not split.get("add_prefix_space", True)
-        )
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
-        self.words = re.compile(
-            f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
-            f"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        byte_of = byte_characters()
+        ranks = {
+            bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items()
+            if token not in special and byte_of.keys() >= set(token)
+        }
+        merges = ["".join(pair) if isinstance(pair, list) else pair.replace(" ", "") for pair in model["merges"]]
+        numbers = [model["vocab"].get(token, -1) for token in merges]
+        as_expected = (
+            spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+            and not split.get("add_prefix_space", True) and not model.get("ignore_merges")
+            and len(ranks) == 256 + len(numbers) and numbers == sorted(set(numbers)) and min(numbers, default=256) >= 256
         )
-        self._forget()
-
-    def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), np.uint32, int(counts.sum()))
-        ends = np.cumsum(counts)
-        n, m = len(self.known), len(self.known) + len(words)
-        if m > len(self.starts):
-            self.starts, self.counts = (np.resize(a, 2 * m) for a in (self.starts, self.counts))
-        if self.filled + len(flat) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.filled + len(flat)))
-        self.starts[n:m] = self.filled + ends - counts
-        self.counts[n:m] = counts
-        self.pool[self.filled:self.filled + len(flat)] = flat
-        self.filled += len(flat)
-        self.known.update(zip(words, range(n, m)))
+        self.ranked = None
+        if as_expected:
+            self.ranked = tiktoken.Encoding("of the file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, with words looked up for about ``GROUP_WORDS`` at a time."""
-        group: list[np.ndarray | int] = []
-        words: list[str] = []
+        """The ids of each text, without special tokens."""
         for text in texts:
-            if self._whole(text):
-                group.append(np.array(self._plain_ids(self.tokenizer, text), np.uint32))
+            rare = not text.isascii() and _OTHER_CHARACTERS.search(text)
+            if self.ranked is None or rare or self.special.search(text):
+                yield np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             else:
-                found = self.words.findall(text)
-                group.append(len(found))
-                words += found
-            if len(words) >= GROUP_WORDS:
-                yield from self._looked_up(group, words)
-                group, words = [], []
-        yield from self._looked_up(group, words)
+                yield np.array(self.ranked.encode_ordinary(text), np.uint32)
 
 
 def byte_encoder(content: str) -> ByteEncoder:

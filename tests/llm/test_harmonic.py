@@ -77,6 +77,7 @@ def test_odd_rows_over_several_tasks(spark, tokenizer, seq_len):
 
 def test_encoder_agrees_with_the_tokenizer(spark, tokenizer):
     texts = [t or "" for _, t in ODD] + [r.text for r in read_table(spark, SF_DIR, "documents").limit(400).collect()]
+    assert ByteEncoder(byte_tokenizer()).ranked is not None
     for text, ids in zip(texts, ByteEncoder(byte_tokenizer()).encode_all(texts)):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
