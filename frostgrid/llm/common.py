@@ -24,6 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them that keep them apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    longest = max((len(c) for c in taken), default=0)
+    return [n if n.lower() not in taken else "_" * (longest + 1) + n for n in names]
+
+
 def tasks(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -52,3 +59,21 @@ def join_lookup(df: DataFrame, lookup: DataFrame, key: str, salt: Column, how: s
     other = other.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     return salted.join(other, same & (F.col("__salt") == F.col("__of")), how).drop("__key", "__of", "__salt")
+
+
+HOT_ROWS = 1_000
+
+
+def join_classes(df: DataFrame, lookup: DataFrame, key: str, salt: Column, how: str = "left") -> DataFrame:
+    """Join ``lookup``, a table with one row per ``key``, whose column ``n`` is the number of rows of ``df`` with it.
+
+    Keys are not null; ``df`` and ``lookup`` have no other column in common. Keys of more than ``HOT_ROWS`` rows, which are
+    few for the rows they stand for, are joined by :func:`join_lookup`, so that
+    no task gets all the rows of one. The others are joined by a shuffle on the key.
+    """
+    hot = lookup.where(F.col("n") > HOT_ROWS).withColumn("__hot", F.lit(True))
+    marked = join_lookup(df, hot, key, salt)
+    found = marked.where("__hot").drop("__hot")
+    cold = lookup.where(F.col("n") <= HOT_ROWS)
+    rest = marked.where("__hot is null").select(*df.columns).join(cold, key, how)
+    return found.select(*df.columns, *[c for c in lookup.columns if c != key]).unionByName(rest)

@@ -5,7 +5,7 @@ from frostgrid.llm.queries import word_tokenizer
 from tests.llm.test_mixing import plain_targets
 from tests.llm.test_packing import expected_pieces
 from tests.llm.test_repeats import by_brute_force as without_repeats
-from tests.llm.test_simhash import by_brute_force as near_groups
+from tests.llm.test_minhash import by_brute_force as near_groups
 from frostgrid.sources import read_table
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -20,7 +20,7 @@ def plain(df):
 def expected(name, rows, got):
     """Rows of a stage by brute force, where its decisions follow from its input alone."""
     if name == "near duplicates":
-        keep = {i: root for i, _, root in near_groups([(r[0], r[1]) for r in rows])}
+        keep = dict(near_groups([(r[0], r[1]) for r in rows]))
         return sorted((r for r in rows if keep[r[0]] in (None, r[0])), key=repr)
     if name == "repeated strings":
         left = {i: (data, spans) for i, data, spans in without_repeats([(r[0], r[1]) for r in rows])}
