@@ -86,7 +86,7 @@ def test_coalescing_does_not_tear_apart_chunks_and_their_first_rows(spark, name)
         spark.conf.set(key, value)
     try:
         plain, limited = (
-            sorted(map(repr, entry.queries()[n](spark, "/root/testdata/sf0.01").collect()))
+            sorted(map(repr, registered.QUERIES[n](spark, "/root/testdata/sf0.01").collect()))
             for n in (name, name + SMALL_LIMITS)
         )
     finally:
