@@ -9,21 +9,23 @@ from frostgrid.session import ensure_checkpoint_dir
 
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16_000_000
 
 
 def checkpointed(groups: DataFrame) -> DataFrame | None:
     """``groups``, kept so that every later use sees the same rows, or None when there are none.
 
-    Runs a job for the rows and counts what it kept. Spark cannot tell the
+    Runs a job for the rows and measures what it kept. Spark cannot tell the
     size of a checkpoint and would shuffle whatever is joined to it; up to
-    ``BROADCAST_ROWS`` rows of a few columns are marked for broadcast.
+    ``BROADCAST_ROWS`` rows of ``BROADCAST_BYTES`` in all are marked for broadcast.
     """
     ensure_checkpoint_dir(groups.sparkSession)
     kept = groups.checkpoint()
-    rows = kept.count()
+    written = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(written), F.lit(0))).collect()[0]
     if rows == 0:
         return None
-    return F.broadcast(kept) if rows <= BROADCAST_ROWS else kept
+    return F.broadcast(kept) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else kept
 
 
 def hot_groups(df: DataFrame, by: list[str], limit: int, *extra: Column) -> DataFrame | None:
