@@ -11,9 +11,7 @@ to tell each other goes by shards of the trigger:
    found in more than one document; all others begin no repeat.
 2. Each bucket sends its dictionary of phrases at such triggers. A shard merges
    dictionaries, sorts the suffixes of ``length`` bytes or more, and finds the first
-   document of every run that agrees in so many. Only runs of equal strings
-   matter, so the order of the array is that of hashes, with a comparison of
-   the bytes themselves where two hashes are the same.
+   document of every run that agrees in so many.
 3. Back in its bucket, the parse carries these to all places of a phrase, which
    are thereby in corpus order: a window goes if its first document is smaller.
 
@@ -118,8 +116,9 @@ class Phrases:
             last = np.nonzero(stop & good)[0]
             tail = last + length - GRAM
             key = hashes[first] * _ODD[1]
-            for k, step in enumerate((17, 34)):
-                key = _joined(key, hashes[np.minimum(first + step, tail)], k)
+            # A phrase has less than two lengths; these grams and the last cover it.
+            for k, step in enumerate(range(GRAM, 2 * length - 2 * GRAM, GRAM)):
+                key = _joined(key, hashes[np.minimum(first + step, tail)], k % 8)
             key = _joined(key, hashes[tail], 2) ^ (last - first).astype(np.uint64)
             # The least of many hashes is small, so it is spread over all numbers again.
             spread = hashes[trigger[first]] * _ODD[4]
@@ -297,6 +296,42 @@ def dictionary_of(phrases: Phrases, bucket: int, shards: int, repeated: pa.Table
     ])
 
 
+def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``start`` in the order of their first ``length`` bytes, and which of them differ from the one before.
+
+    Sorted by the first eight bytes, then word by word inside the classes that
+    are still equal. A class is sorted again only if its next words differ, so
+    copies, which are most of what a dictionary shares, cost a comparison.
+    """
+    word = data.astype(np.uint64)
+    for width in (1, 2, 4):
+        word = (word[:len(word) - width] << np.uint64(8 * width)) | word[width:]
+    first = word[start]
+    order = np.argsort(first)
+    first = first[order]
+    new = np.ones(len(order), bool)
+    new[1:] = first[1:] != first[:-1]
+    tied = np.arange(len(order))
+    for depth in [*range(8, length - 8, 8), length - 8]:
+        # Suffixes that are equal to a neighbour so far.
+        alone = new[tied] & np.append(new[tied[1:]], True)
+        tied = tied[~alone]
+        if not len(tied):
+            break
+        here = word[start[order[tied]] + depth]
+        opens = new[tied]
+        differs = np.zeros(len(tied), bool)
+        differs[1:] = (here[1:] != here[:-1]) & ~opens[1:]
+        of = np.cumsum(opens) - 1
+        unsettled = np.nonzero(np.bincount(of[differs], minlength=of[-1] + 1)[of])[0]
+        if len(unsettled):
+            again = unsettled[np.lexsort((here[unsettled], of[unsettled]))]
+            order[tied[unsettled]] = order[tied[again]]
+            here[unsettled] = here[again]
+            new[tied[1:]] |= here[1:] != here[:-1]
+    return order, new
+
+
 def first_documents(table: pa.Table, length: int) -> pa.Table:
     """For each phrase a bucket sent, the first document of each of its windows, as runs of windows."""
     keys, ids = _blobs(table, "keys", "<u8"), np.concatenate(_blobs(table, "ids", "<i8"))
@@ -309,31 +344,10 @@ def first_documents(table: pa.Table, length: int) -> pa.Table:
     start = np.repeat(begin - ends + count, count) + np.arange(ends[-1])
     first = np.repeat(ids, count)
 
-    # Suffixes in the order of their hashes; those whose hash recurs are compared to the full depth.
-    hashes = np.concatenate([
-        rolling_hash(data[at:at + CHUNK + length - 1], length) for at in range(0, len(data) - length + 1, CHUNK)
-    ])[start]
-    suffixes = np.argsort(hashes)
-    equal = hashes[suffixes][1:] == hashes[suffixes][:-1]
-    recurs = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
-    suffixes = suffixes[recurs]
-    if len(suffixes):
-        hashes = hashes[suffixes]
-        words = [_words(data, start[suffixes], length, k) for k in range(-(-length // 8))]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        differ = np.zeros(len(new), bool)
-        for word in words:
-            differ[1:] |= word[1:] != word[:-1]
-        if (differ & ~new).any():
-            # Different strings of one hash: only now the bytes decide the order.
-            order = np.lexsort((*words[::-1], hashes))
-            suffixes, new = suffixes[order], np.zeros(len(new), bool)
-            new[0] = True
-            for word in (hashes, *words):
-                new[1:] |= word[order][1:] != word[order][:-1]
-        at = np.nonzero(new)[0]
-        least = np.minimum.reduceat(first[suffixes], at)
-        first[suffixes] = np.repeat(least, np.diff(np.append(at, len(suffixes))))
+    suffixes, new = suffix_array(data, start, length)
+    at = np.nonzero(new)[0]
+    least = np.minimum.reduceat(first[suffixes], at)
+    first[suffixes] = np.repeat(least, np.diff(np.append(at, len(suffixes))))
 
     change = np.ones(len(first), bool)
     change[1:] = first[1:] != first[:-1]

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from frostgrid.llm.queries import QUERIES
-from frostgrid.llm.repeats import Phrases, remove_repeats, rolling_hash
+from frostgrid.llm.repeats import Phrases, remove_repeats, rolling_hash, suffix_array
 from frostgrid.sources import read_table
 
 SCHEMA = "doc_id bigint, text string, bucket string, spans int"
@@ -81,6 +81,30 @@ def test_odd_rows(spark, limits):
     check(df, ODD, **limits)
 
 
+@pytest.mark.parametrize("length", [100, 500])
+def test_phrases_that_differ_in_one_byte(spark, length):
+    """Near copies, each other byte of which is changed in one document."""
+    rng = random.Random(length)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3 * length))
+    rows = [(0, base)]
+    for i, at in enumerate(range(length // 2, 3 * length, max(length // 25, 7)), 1):
+        rows.append((i, base[:at] + "#" + base[at + 1:]))
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], SCHEMA)
+    check(df, rows, length=length)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_suffix_array(seed):
+    rng = np.random.default_rng(seed)
+    data = rng.integers(97, 99 + seed, 600).astype(np.uint8)
+    data[300:400] = data[100:200]
+    start = rng.permutation(551)
+    order, new = suffix_array(data, start, 50)
+    strings = [data[i:i + 50].tobytes() for i in start[order]]
+    assert strings == sorted(strings) and sorted(order) == list(range(551))
+    assert new.tolist() == [True] + [a != b for a, b in zip(strings, strings[1:])]
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([(1, "a", "x", 0)], SCHEMA)
     assert remove_repeats(df.where("false")).count() == 0
