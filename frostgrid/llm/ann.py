@@ -13,13 +13,13 @@ from frostgrid.llm.common import checkpointed
 from frostgrid.llm.vectors import as_matrix, whole_vectors
 
 SAMPLE_ROWS = 65_536
-LIST_ROWS = 128
+LIST_ROWS = 64
 MOST_CENTROIDS = 16_384
 NEIGHBOURS = 24
 BEAM = 8
 COPIES = 2
 COPY_RATIO = 1.1
-SEARCH_RATIO = 1.15
+SEARCH_RATIO = 1.16
 CHUNK_ROWS = 8192
 
 
@@ -66,28 +66,38 @@ class CentroidGraph:
 
         A walk from fixed entries: of each query all centroids are expanded
         that are within the ratio or among its ``beam`` nearest so far.
+        Only centroids that the walk comes to are measured and kept, so that its
+        cost does not depend on how many there are.
         """
         queries = queries.astype(np.float32)
         n, m = len(queries), len(self.points)
-        distance = np.full((n, m), np.inf, np.float32)
-        expanded = np.zeros((n, m), bool)
-        row = np.repeat(np.arange(n), len(self.entries))
-        node = np.tile(self.entries, n)
+        nearest = np.full((n, beam), np.inf, np.float32)
+        row, node = np.repeat(np.arange(n), len(self.entries)), np.tile(self.entries, n)
+        # What was come to, sorted by query and centroid, with distance and whether it was expanded.
+        seen, distance, expanded = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, bool)
         while len(row):
-            for at in range(0, len(row), 65536):
-                r, c = row[at:at + 65536], node[at:at + 65536]
-                distance[r, c] = np.sqrt(((queries[r] - self.points[c]) ** 2).sum(axis=1))
-            limit = distance.min(axis=1) * np.float32(ratio)
-            if m > beam:
-                limit = np.maximum(limit, np.partition(distance, beam - 1, axis=1)[:, beam - 1])
-            open_row, open_node = np.nonzero((distance <= limit[:, None]) & ~expanded & np.isfinite(distance))
-            expanded[open_row, open_node] = True
-            row = np.repeat(open_row, self.links.shape[1])
-            node = self.links[open_node].ravel().astype(np.int64)
-            fresh = np.unique((row * m + node)[np.isinf(distance[row, node])])
+            new = np.sqrt(((queries[row] - self.points[node]) ** 2).sum(axis=1))
+            by_row = np.lexsort((new, row))
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            first = place < beam
+            best = np.full((n, beam), np.inf, np.float32)
+            best[row[first], place[first]] = new[by_row][first]
+            nearest = np.sort(np.concatenate([nearest, best], axis=1), axis=1)[:, :beam]
+            limit = np.maximum(nearest[:, 0] * np.float32(ratio), nearest[:, min(beam, m) - 1])
+            order = np.argsort(np.concatenate([seen, row * m + node]), kind="stable")
+            seen = np.concatenate([seen, row * m + node])[order]
+            distance = np.concatenate([distance, new])[order]
+            expanded = np.concatenate([expanded, np.zeros(len(row), bool)])[order]
+            chosen = np.nonzero(~expanded & (distance <= limit[seen // m]))[0]
+            expanded[chosen] = True
+            reached = (seen[chosen] // m * m)[:, None] + self.links[seen[chosen] % m]
+            reached = np.unique(reached)
+            at = np.searchsorted(seen, reached)
+            fresh = reached[seen[np.minimum(at, len(seen) - 1)] != reached]
             row, node = fresh // m, fresh % m
-        row, node = np.nonzero(distance <= (distance.min(axis=1) * np.float32(ratio))[:, None])
-        return row, node, distance[row, node]
+        row, node = seen // m, seen % m
+        within = distance <= nearest[row, 0] * np.float32(ratio)
+        return row[within], node[within], distance[within]
 
 
 def nearest_neighbours(

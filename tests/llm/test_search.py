@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from frostgrid.sources import read_table
 
 SF_DIR = "/root/testdata/sf0.01"
 SCHEMA = "vec_id bigint, embedding array<float>, shard string, rank int"
+LARGE = "/root/testdata/check_l"
 EVERY_20, EVERY_100 = "vec_id % 20 = 0", "vec_id % 100 = 0"
 
 
@@ -128,6 +130,35 @@ def test_recall_on_the_table(spark, scale):
     assert recall(QUERIES["op10_nearest_neighbours"](spark, sf_dir).collect(), rows, 100, 10) >= 0.95
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="the larger tables of the check tool are not there")
+def test_recall_on_fifty_thousand_vectors(spark):
+    """Held against all distances in blocks, on a table of several hundred lists."""
+    vectors = spark.read.parquet(f"{LARGE}/embeddings.parquet").where("vec_id is not null and embedding is not null")
+    found = {}
+    for r in nearest_neighbours(vectors, EVERY_100).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = {r.vec_id: r.embedding for r in vectors.collect()}
+    rows = {i: v for i, v in rows.items() if all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    ids = np.array(sorted(rows))
+    points = np.array([rows[i] for i in ids.tolist()], np.float64)
+    asking = np.nonzero(ids % 100 == 0)[0]
+    assert len(ids) > 50_000 and set(found) == set(ids[asking].tolist())
+    hits, squares = 0, (points**2).sum(axis=1)
+    for at in range(0, len(asking), 64):
+        block = asking[at:at + 64]
+        gaps = squares - 2 * points[block] @ points.T
+        gaps[np.arange(len(block)), block] = np.inf
+        for q, best in zip(block, np.argpartition(gaps, 9, axis=1)[:, :10]):
+            hits += len(found[ids[q]] & set(ids[best].tolist()))
+    assert hits >= 0.92 * 10 * len(asking)
+
+
+def test_walks_end_at_the_point_itself():
+    points = np.random.default_rng(3).random((4000, 3))
+    row, node, distance = CentroidGraph(points).within(points[:200], 1.0, beam=4)
+    assert row.tolist() == node.tolist() == list(range(200)) and not distance.any()
+
+
 def test_graph_finds_what_a_scan_finds():
     points = np.random.default_rng(2).normal(size=(3000, 16))
     centroids = balanced_centroids(points, 200)
