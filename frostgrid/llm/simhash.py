@@ -12,10 +12,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostgrid.llm.common import checkpointed
+from frostgrid.llm.common import checkpointed, join_classes, join_lookup
 from frostgrid.llm.components import components
 
 SEED = 42
+# Fingerprints that a tree is fitted to, for each of its leaves.
+LEAF_SAMPLE = 16
 SAMPLE_ROWS = 4096
 # Points of a shard, of a task where a shard is larger, and of a leaf inside a task.
 LEAF_ROWS = 32768
@@ -187,8 +189,9 @@ def near_links(points: DataFrame, reach: int = 4, leaf_rows: int = LEAF_ROWS, ch
     """Links ``a``, ``b`` between distinct fingerprints, with the same components as all pairs within ``reach``.
 
     ``points`` has one column, ``fp``, without repeats; an empty table gives no
-    rows. A vantage-point tree is fitted to a sample of ``SAMPLE_ROWS``
-    fingerprints. A point is sent to its own leaf and, as a query only, to each
+    rows. A vantage-point tree is fitted to a sample of about ``LEAF_SAMPLE``
+    fingerprints for each of its leaves, of which there are at most ``2 ** MOST_LEVELS``,
+    and ``SAMPLE_ROWS`` at least. A point is sent to its own leaf and, as a query only, to each
     leaf of higher number that its ball reaches; every pair within reach meets
     in the leaf of one of the two. A leaf of more than ``chunk_rows`` points has its
     queries dealt over several tasks that each hold all points at home there.
@@ -196,7 +199,10 @@ def near_links(points: DataFrame, reach: int = 4, leaf_rows: int = LEAF_ROWS, ch
     spark = points.sparkSession
     rows = points.count()
     levels = _levels(rows, leaf_rows)
-    sample = [r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE_ROWS).collect()]
+    wanted = max(SAMPLE_ROWS, LEAF_SAMPLE << levels)
+    share = min(wanted / max(rows, 1), 1.0)
+    drawn = points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    sample = [r.fp for r in drawn.orderBy(F.xxhash64("fp"), "fp").collect()]
     tree = VantageTree(np.array(sample, np.int64).view(np.uint64), levels)
 
     def with_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,12 +259,11 @@ def simhash_groups(
     Copies share a fingerprint and are looked at once.
     """
     of_docs = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    classes = checkpointed(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = checkpointed(of_docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     found = components(near_links(classes.select("fp"), reach, **limits))
-    placed = found.join(classes.withColumnRenamed("fp", "node"), "node")
+    placed = found.join(classes.select(F.col("fp").alias("node"), "first_id"), "node")
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("smallest"))
-    moved = placed.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
-    ids = classes.join(moved, "fp", "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce("smallest", "first_id").alias("component_id")
-    )
-    return of_docs.join(ids, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    moved = join_lookup(placed, smallest, "root", F.col("node")).select(F.col("node").alias("fp"), "smallest")
+    ids = classes.join(moved, "fp", "left").select("fp", F.coalesce("smallest", "first_id").alias("component_id"), "n")
+    # A group of copies may hold a third of all rows.
+    return join_classes(of_docs, ids, "fp", F.col("doc_id"), "inner").select("doc_id", "fp", "component_id")
