@@ -14,6 +14,9 @@ BLOCK_WORDS = 32
 SHARD_SLOTS = 8192
 ROUNDS = 12
 MULTIPLIER = 1_000_003
+# Steps of the numbers that slots draw their shards by: a factor and a term each, modulo 2 ** 31.
+DRAWS = [(1_103_515_245, 12_345), (69_069, 362_437), (1_664_525, 101_390_423)]
+MODULUS = 1 << 31
 
 
 def words(text: str | Column) -> Column:
@@ -99,6 +102,15 @@ def permuted(df: DataFrame, index: str, n: str, key: str, name: str) -> DataFram
     return df.withColumn(name, F.aggregate(rounds, F.col(index), swap_or_not))
 
 
+def drawn_shard(rank: Column, slot: Column, shards: Column) -> Column:
+    """A pseudorandom shard for each slot of each source."""
+    x = F.pmod(slot + (rank + 1) * MULTIPLIER, F.lit(MODULUS))
+    for factor, term in DRAWS:
+        x = F.pmod(x * factor + term, F.lit(MODULUS))
+        x = x.bitwiseXOR(F.shiftright(x, 15))
+    return F.pmod(F.shiftright(x, 3), shards)
+
+
 def draw_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix as slots: ``shard``, ``rank`` of the source, ``slot`` and ``block``.
 
@@ -125,7 +137,7 @@ def draw_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     batches = counted.withColumn("batch", draws).repartition(parts, "rank", "batch")
     last = F.least((F.col("batch") + 1) * shard_slots, F.col("slots")) - 1
     drawn = batches.withColumn("i", F.explode(F.sequence(F.col("batch") * shard_slots, last)))
-    shard = F.pmod(F.xxhash64("rank", "i"), F.col("shards"))
+    shard = drawn_shard(F.col("rank"), F.col("i"), F.col("shards"))
     counts = drawn.groupBy("rank", "blocks", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
     before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -151,7 +163,8 @@ def mix_sources(
     """Words of each document that a mix of the sources takes.
 
     One row per document: ``doc_id``, ``source``, ``size`` (words; null text: 0),
-    ``source_size``, ``target`` and ``taken``. The words of a source are laid end to end
+    ``source_size``, ``target``, ``taken`` and ``shards``, an array of the output shards that take
+    some of it, with the ``words`` of each, in order. The words of a source are laid end to end
     and cut into blocks of ``block_words``; the slots of :func:`draw_slots` take
     blocks by index, and a document is taken with each block it lies in. A
     source's total misses its target by at most one and a half blocks. Null is a source like any other.
@@ -167,7 +180,7 @@ def mix_sources(
     sources = checkpointed(source_targets(sizes, weights, factor, most))
     rows = checkpointed(join_lookup(laid_out(sized), sources, "source", F.col("doc_id")))
 
-    times = draw_slots(sources, block_words).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = draw_slots(sources, block_words).groupBy("rank", "block", "shard").agg(F.count(F.lit(1)).alias("times"))
     first = F.floor(F.col("start") / F.lit(block_words))
     last = F.floor((F.col("start") + F.col("size") - 1) / F.lit(block_words))
     pieces = rows.where("size > 0").select(
@@ -177,10 +190,16 @@ def mix_sources(
         F.col("start"), F.col("at") * block_words
     )
     joined = pieces.join(times, (F.col("of") == F.col("rank")) & (F.col("at") == F.col("block")))
-    taken = joined.groupBy(F.col("of").alias("__rank"), F.col("start").alias("__start")).agg(
-        F.sum(inside * F.col("times")).alias("taken")
+    per_shard = joined.groupBy(F.col("of").alias("__rank"), F.col("start").alias("__start"), "shard").agg(
+        F.sum(inside * F.col("times")).alias("words")
+    )
+    # At most a shard for each slot of a document's blocks, so an array grows with its text only.
+    taken = per_shard.groupBy("__rank", "__start").agg(
+        F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("shard", "words"))).alias("shards")
     )
     same = (F.col("rank") == F.col("__rank")) & (F.col("start") == F.col("__start")) & (F.col("size") > 0)
+    none = F.array().cast("array<struct<shard:bigint,words:bigint>>")
     return rows.join(taken, same, "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
+        F.coalesce("shards", none).alias("shards"),
     )

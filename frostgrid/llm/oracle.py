@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from frostgrid.llm.mixing import BLOCK_WORDS, CELLS, MULTIPLIER, ROUNDS
+from frostgrid.llm.mixing import BLOCK_WORDS, CELLS, DRAWS, MODULUS, MULTIPLIER, ROUNDS, SHARD_SLOTS
 
 ORACLE_SQL: dict[str, str] = {}
 
 
 def _rounds() -> str:
     """One subquery for each round of the permutation of blocks."""
-    steps = ["p0 AS (SELECT rank, blocks, slot % blocks AS x FROM slots)"]
+    steps = ["p0 AS (SELECT rank, blocks, shard, slot % blocks AS x FROM slots)"]
     for r in range(ROUNDS):
         turn = f"({7919 * (r + 1) ** 2} * (rank + 1) + {104729 * r}) % blocks"
         steps.append(
-            f"p{r + 1} AS (SELECT rank, blocks, "
+            f"p{r + 1} AS (SELECT rank, blocks, shard, "
             f"CASE WHEN ((greatest(x, y) * {MULTIPLIER} + {15485863 * (r + 1)}) >> 13) % 2 = 1 THEN y ELSE x END AS x "
-            f"FROM (SELECT rank, blocks, x, ((({turn}) - x) % blocks + blocks) % blocks AS y FROM p{r}))"
+            f"FROM (SELECT rank, blocks, shard, x, ((({turn}) - x) % blocks + blocks) % blocks AS y FROM p{r}))"
+        )
+    return ",\n".join(steps)
+
+
+def _draws() -> str:
+    """One subquery for each step of the numbers that shards are drawn by."""
+    steps = [
+        f"d0 AS (SELECT rank, blocks, i, shards, (i + (rank + 1) * {MULTIPLIER}) % {MODULUS} AS x "
+        "FROM (SELECT rank, blocks, shards, unnest(range(slots)) AS i FROM counted, sharded))"
+    ]
+    for n, (factor, term) in enumerate(DRAWS):
+        steps.append(
+            f"d{n + 1} AS (SELECT rank, blocks, i, shards, xor(x, x >> 15) AS x "
+            f"FROM (SELECT * REPLACE ((x * {factor} + {term}) % {MODULUS} AS x) FROM d{n}))"
         )
     return ",\n".join(steps)
 
@@ -52,12 +66,17 @@ WITH sized AS (
   FROM (SELECT *, (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks,
                floor(target / source_size)::BIGINT AS passes
         FROM sources WHERE source_size > 0)
-), slots AS (
-  SELECT rank, blocks, unnest(range(slots)) AS slot FROM counted
+), sharded AS (
+  SELECT greatest(ceil(sum(slots) / {SHARD_SLOTS}), 1)::BIGINT AS shards FROM counted
+),
+{_draws()},
+slots AS (
+  SELECT rank, blocks, shard, row_number() OVER (PARTITION BY rank ORDER BY shard, i) - 1 AS slot
+  FROM (SELECT *, (x >> 3) % shards AS shard FROM d{len(DRAWS)})
 ),
 {_rounds()},
 times AS (
-  SELECT rank, x AS block, count(*) AS times FROM p{ROUNDS} GROUP BY ALL
+  SELECT rank, x AS block, shard, count(*) AS times FROM p{ROUNDS} GROUP BY ALL
 ), laid AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.rank, row_number() OVER () AS id,
          coalesce(sum(s.size) OVER (PARTITION BY s.source
@@ -67,12 +86,16 @@ times AS (
 ), pieces AS (
   SELECT id, rank, start, size, unnest(range(start // {BLOCK_WORDS}, (start + size - 1) // {BLOCK_WORDS} + 1)) AS pos
   FROM laid WHERE size > 0
+), per_shard AS (
+  SELECT id, shard,
+         sum((least(start + size, (pos + 1) * {BLOCK_WORDS}) - greatest(start, pos * {BLOCK_WORDS})) * times)::BIGINT AS words
+  FROM pieces p JOIN times t ON p.rank = t.rank AND p.pos = t.block GROUP BY id, shard
 ), taken AS (
-  SELECT id, sum((least(start + size, (pos + 1) * {BLOCK_WORDS}) - greatest(start, pos * {BLOCK_WORDS})) * times)::BIGINT
-         AS taken
-  FROM pieces p JOIN times t ON p.rank = t.rank AND p.pos = t.block GROUP BY id
+  SELECT id, sum(words)::BIGINT AS taken, string_agg(shard || ':' || words, ',' ORDER BY shard) AS shards
+  FROM per_shard GROUP BY id
 )
-SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM laid LEFT JOIN taken USING (id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(shards, '') AS shards
+FROM laid LEFT JOIN taken USING (id)
 """
 
 _HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]*)', 1)"

@@ -47,9 +47,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that a mix of one and a half times the corpus takes of every document."""
+    """Words that a mix of one and a half times the corpus takes of every document, and the words of each output shard."""
     mixed = mix_sources(read_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("shards", lambda s: F.concat_ws(":", s["shard"], s["words"])), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 def word_tokenizer() -> str:

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from frostgrid.llm.mixing import draw_slots, mix_sources, permuted, source_targets
+from frostgrid.llm.mixing import draw_slots, drawn_shard, mix_sources, permuted, source_targets
 from frostgrid.sources import read_table
 
 SCHEMA = "doc_id bigint, text string, source string, rank int, size string"
@@ -70,6 +70,18 @@ def test_slots_of_shards(spark):
     assert len(shard) == 7 and max(shard.values()) < 2 * min(shard.values())
 
 
+def test_shards_are_drawn_evenly_and_apart(spark):
+    """Counts of shard and source as of independent draws: near their mean, by about the root of it."""
+    slots = spark.range(60_000).select(F.col("id") % 3, F.floor(F.col("id") / 3)).toDF("rank", "slot")
+    drawn = slots.withColumn("shard", drawn_shard(F.col("rank"), F.col("slot"), F.lit(20)))
+    counts = {(r.rank, r.shard): r["count"] for r in drawn.groupBy("rank", "shard").count().collect()}
+    assert len(counts) == 60 and all(abs(n - 1000) < 5 * 1000**0.5 for n in counts.values())
+    spread = sum((n - 1000) ** 2 / 1000 for n in counts.values())
+    assert 25 < spread < 100
+    same = drawn.alias("a").join(drawn.alias("b"), "slot").where("a.rank = 0 and b.rank = 1 and a.shard = b.shard").count()
+    assert abs(same - 1000) < 5 * 1000**0.5
+
+
 def check(df, rows):
     got = mix_sources(df, [3.0, 1.0, 2.0]).collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -80,11 +92,12 @@ def check(df, rows):
     target = plain_targets(sizes)
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source])
-        assert 0 <= r.taken <= 2 * r["size"]
+        assert 0 <= r.taken <= 2 * r["size"] and r.taken == sum(x["words"] for x in r.shards)
+        assert [x["shard"] for x in r.shards] == sorted({x["shard"] for x in r.shards})
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= 48 for s in sizes)
     again = mix_sources(df.repartition(3), [3.0, 1.0, 2.0]).collect()
-    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
 
 
 def test_odd_rows(spark):
