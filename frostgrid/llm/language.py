@@ -16,6 +16,8 @@ from frostgrid.llm.common import checkpointed, join_lookup
 SAMPLE_ROWS = 4000
 FEATURES = 1 << 13
 UNKNOWN = "und"
+# With more classes than this only the trigrams that occur are looked up.
+MANY_CLASSES = 32
 # Neighbouring trigrams share two of three bytes, so each counts as a third of one observation.
 TEXT_WEIGHT = 1 / 3
 PRIOR_ROWS = 10.0
@@ -43,14 +45,18 @@ class TextModel:
         return [*self.languages, UNKNOWN]
 
     def log_likelihood(self, text: bytes | None) -> np.ndarray:
-        return TEXT_WEIGHT * (self.log_probability @ trigrams(text or b""))
+        counts = trigrams(text or b"")
+        if len(self.log_probability) > MANY_CLASSES:
+            seen = np.nonzero(counts)[0]
+            return TEXT_WEIGHT * (self.log_probability[:, seen] @ counts[seen])
+        return TEXT_WEIGHT * (self.log_probability @ counts)
 
 
 def as_language(declared: str | Column) -> Column:
-    """The language of a tag as in markup: ``EN-us`` is ``en``; an empty one is null."""
+    """The language of a tag as in markup: ``EN-us`` is ``en``; null if it does not begin with two to eight letters."""
     column = F.col(declared) if isinstance(declared, str) else declared
     tag = F.lower(F.trim(F.split(column.cast("string"), "[-_]")[0]))
-    return F.when(tag != "", tag)
+    return F.when(tag.rlike("^[a-z]{2,8}$"), tag)
 
 
 def markup_language(html: str | Column) -> Column:
@@ -70,8 +76,8 @@ def fit_text_model(
     ``sample_rows`` / texts is drawn, and always the text with the least hash,
     so every label of the table is a class, however rare. Copies count as one
     text, so that none of them outweighs the others. Counts are made per label
-    and part of the sample and summed; the driver gets, for each label, up to
-    eight vectors of ``FEATURES`` numbers.
+    and part of the sample and summed; the driver gets, for each label, one
+    vector of ``FEATURES`` numbers.
     """
     labelled = docs.select(as_language(label_col).alias("label"), F.col(text_col).cast("binary").alias("text")).where(
         F.col("label").isNotNull() & F.col("text").isNotNull() & (F.col("label") != UNKNOWN)
@@ -92,16 +98,25 @@ def fit_text_model(
     counted = sample.withColumn("part", F.col("part") % 8).groupBy("label", "part").applyInPandas(
         count, "label string, counts binary"
     )
-    counts: dict[str, np.ndarray] = {}
-    for row in counted.collect():
-        counts[row.label] = counts.get(row.label, 0) + np.frombuffer(row.counts, "<i8")
-    return TextModel(counts)
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, "<i8") for c in rows["counts"])
+        return pd.DataFrame({"label": rows["label"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
+
+    summed = counted.groupBy("label").applyInPandas(add, "label string, counts binary")
+    return TextModel({row.label: np.frombuffer(row.counts, "<i8") for row in summed.collect()})
 
 
-def _with_likelihood(docs: DataFrame, model: TextModel, text_col: str) -> DataFrame:
-    """``docs`` with ``__ll``: the weighted log-likelihood of the text under each class."""
-    schema = StructType([*docs.schema.fields, StructField("__ll", ArrayType(DoubleType()))])
+def _with_likelihood(docs: DataFrame, model: TextModel, text_col: str, told: np.ndarray | None = None) -> DataFrame:
+    """``docs`` with ``__ll``: the weighted log-likelihood of the text under each class.
+
+    With ``told``, also with ``__told``: its row for the language in ``__declared``, zeros where that is null.
+    """
+    added = ["__ll"] if told is None else ["__ll", "__told"]
+    schema = StructType([*docs.schema.fields, *[StructField(name, ArrayType(DoubleType())) for name in added]])
     at = docs.columns.index(text_col)
+    row_of = {name: i for i, name in enumerate(model.languages)}
+    declared = docs.columns.index("__declared") if told is not None else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +125,11 @@ def _with_likelihood(docs: DataFrame, model: TextModel, text_col: str) -> DataFr
                 model.log_likelihood(t.as_buffer().to_pybytes() if t.is_valid else None).tolist() for t in texts
             ]
             columns = [*batch.columns, pa.array(scores, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "__ll"])
+            if told is not None:
+                silent = np.zeros(len(model.classes))
+                tags = batch.column(declared).to_pylist()
+                columns.append(pa.array([told[row_of[t]] if t in row_of else silent for t in tags], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
 
     return docs.mapInArrow(score, schema)
 
@@ -159,6 +178,13 @@ def fused(
     Texts are read twice and never shuffled, unless hosts are too many for a
     broadcast. A table without labels knows no language and accepts nothing.
     """
+    # Whatever the columns are called, they stand aside from those added here.
+    names_of = docs.columns
+    aside = {name: f"column_{i}" for i, name in enumerate(names_of)}
+    docs = docs.toDF(*aside.values())
+    text_col, declared_col, host_col, domain_col, suffix_col = (
+        aside[c] if c else None for c in (text_col, declared_col, host_col, domain_col, suffix_col)
+    )
     classes = model.classes
     k = len(classes)
     none = F.lit(None).cast("string")
@@ -183,15 +209,15 @@ def fused(
     told = {name: by_declared.get(name, [0.0] * k) for name in model.languages}
     rows = [sum(told[name][i] for name in model.languages) for i in range(k)]
 
-    def declaring(name: str) -> Column:
-        """For each class the chance that its documents declare ``name``, at first nine in ten for its own name."""
-        def chance(i: int) -> float:
-            own = 0.9 if classes[i] == name else 0.1 / max(len(model.languages) - 1, 1)
-            own = 1 / len(model.languages) if classes[i] == UNKNOWN else own
-            return (told[name][i] + PRIOR_ROWS * own) / (rows[i] + PRIOR_ROWS)
-        return F.array(*[F.lit(float(np.log(chance(i)))) for i in range(k)])
+    # For each language declared, and each class, the chance that documents of the class declare it;
+    # at first nine in ten for their own.
+    own = np.full((len(model.languages), k), 0.1 / max(len(model.languages) - 1, 1))
+    own[np.arange(len(model.languages)), np.arange(len(model.languages))] = 0.9
+    own[:, -1] = 1 / max(len(model.languages), 1)
+    seen = np.array([told[name] for name in model.languages]).reshape(-1, k)
+    chances = np.log((seen + PRIOR_ROWS * own) / (np.array(rows) + PRIOR_ROWS))
 
-    evidence = _with_likelihood(keyed, model, text_col).withColumn("__own", _soft(F.col("__ll")))
+    evidence = _with_likelihood(keyed, model, text_col, chances).withColumn("__own", _soft(F.col("__ll")))
     prior = shares
     if domain_col:
         domains = checkpointed(groups.where("__domain is not null").groupBy("__domain").agg(resum.alias("__dn")))
@@ -208,17 +234,14 @@ def fused(
         evidence = join_lookup(evidence, suffixes, "__suffix", F.col(text_col))
         ratio = F.zip_with(_share(F.col("__sn"), F.col("__own"), shares), shares, lambda p, q: F.log(p / q))
         score = F.coalesce(_added(score, ratio), score)
-    if model.languages:
-        silent = F.array(*[F.lit(0.0)] * k)
-        chances = F.coalesce(*[F.when(F.col("__declared") == name, declaring(name)) for name in model.languages], silent)
-        score = _added(score, chances)
+    score = _added(score, F.col("__told"))
 
     evidence = evidence.withColumn("__score", score).withColumn("__chance", _soft(F.col("__score")))
     best = F.array_position("__chance", F.array_max("__chance")).cast("int")
     language = F.element_at(F.array(*map(F.lit, classes)), best)
     posterior = F.array_max("__chance")
     return evidence.select(
-        *docs.columns, language.alias("__language"), posterior.alias("__posterior"),
+        *[F.col(a).alias(name) for name, a in aside.items()], language.alias("__language"), posterior.alias("__posterior"),
         ((language != UNKNOWN) & (posterior >= least)).alias("__accepted"),
     )
 

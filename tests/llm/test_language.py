@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from urllib.parse import urlsplit
 
@@ -6,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from frostgrid.llm.language import UNKNOWN, TextModel, fit_text_model, identify_language, markup_language, trigrams
+from frostgrid.llm.language import (
+    UNKNOWN, TextModel, as_language, fit_text_model, fused, identify_language, markup_language, trigrams,
+)
 from frostgrid.llm.queries import QUERIES
 from frostgrid.llm.urls import domain_of, host_of, suffix_of
 from frostgrid.sources import read_table
@@ -195,3 +198,30 @@ def test_copies_count_once_in_the_sample(spark):
     model = fit_text_model(df, sample_rows=100)
     once = TextModel({"en": sum(trigrams(t.encode()) for t in {r[1] for r in rows})})
     assert np.allclose(model.log_probability, once.log_probability)
+
+
+def labelled_rows(spark, labels, rows):
+    """Short texts whose words are of their label alone."""
+    rng = random.Random(5)
+    names = [f"{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" + "x" * (i // 676) for i in range(labels)]
+    words = {n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for n in names}
+    out = []
+    for i in range(rows):
+        name = names[i % labels]
+        out.append((i, " ".join(rng.choice(words[name]) for _ in range(30)), name if i // labels != 4 else "<junk 1>", f"s{i % 9}", None, "x"))
+    schema = "doc_id bigint, text string, lang string, source string, __host string, __own string"
+    return names, spark.createDataFrame(out, schema)
+
+
+def test_many_labels_and_columns_of_names_used_inside(spark):
+    """Five hundred labels, a rare one among them, and tags that are none."""
+    names, docs = labelled_rows(spark, 500, 3000)
+    assert fit_text_model(docs).languages == sorted(names)
+    found = fused(docs, fit_text_model(docs)).collect()
+    assert len(found) == 3000 and sum(r["__language"] == names[r.doc_id % 500] for r in found) > 2900
+
+
+@pytest.mark.parametrize("tag, wanted", [("EN-us", "en"), (" fr ", "fr"), ("", None), (None, None), ("x", None), ("<de>", None), ("12", None), ("zh_Hant", "zh")])
+def test_tags(spark, tag, wanted):
+    df = spark.createDataFrame([(tag,)], "t string")
+    assert df.select(as_language("t")).collect()[0][0] == wanted
