@@ -108,11 +108,11 @@ def fit_text_model(
 
 
 def _with_likelihood(docs: DataFrame, model: TextModel, text_col: str, told: np.ndarray | None = None) -> DataFrame:
-    """``docs`` with ``__ll``: the weighted log-likelihood of the text under each class.
+    """``docs`` with ``__ll``, the weighted log-likelihood of the text under each class, and ``__own``, what follows from it alone.
 
     With ``told``, also with ``__told``: its row for the language in ``__declared``, zeros where that is null.
     """
-    added = ["__ll"] if told is None else ["__ll", "__told"]
+    added = ["__ll", "__own"] if told is None else ["__ll", "__own", "__told"]
     schema = StructType([*docs.schema.fields, *[StructField(name, ArrayType(DoubleType())) for name in added]])
     at = docs.columns.index(text_col)
     row_of = {name: i for i, name in enumerate(model.languages)}
@@ -121,10 +121,10 @@ def _with_likelihood(docs: DataFrame, model: TextModel, text_col: str, told: np.
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
-            scores = [
-                model.log_likelihood(t.as_buffer().to_pybytes() if t.is_valid else None).tolist() for t in texts
-            ]
-            columns = [*batch.columns, pa.array(scores, pa.list_(pa.float64()))]
+            scores = [model.log_likelihood(t.as_buffer().to_pybytes() if t.is_valid else None) for t in texts]
+            weights = [np.exp(ll - ll.max()) for ll in scores]
+            numbers = [scores, [w / w.sum() for w in weights]]
+            columns = [*batch.columns, *[pa.array(n, pa.list_(pa.float64())) for n in numbers]]
             if told is not None:
                 silent = np.zeros(len(model.classes))
                 tags = batch.column(declared).to_pylist()
@@ -138,12 +138,6 @@ def _added(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def _soft(ll: Column) -> Column:
-    """Class probabilities from log-likelihoods."""
-    weights = F.transform(ll, lambda x: F.exp(x - F.array_max(ll)))
-    return F.transform(weights, lambda x: x / F.aggregate(weights, F.lit(0.0), lambda s, y: s + y))
-
-
 def _share(counts: Column, own: Column, parent: Column) -> Column:
     """Class shares of a group without the row itself, drawn towards those of its parent.
 
@@ -195,7 +189,7 @@ def fused(
         {n: known if n == "__declared" else F.col(c).cast("string") if c else none for n, c in names.items()}
     )
     slim = keyed.select(F.col(text_col).alias("__text"), *names)
-    scored = _with_likelihood(slim, model, "__text").drop("__text").withColumn("__own", _soft(F.col("__ll")))
+    scored = _with_likelihood(slim, model, "__text").drop("__text")
     sums = F.array(*[F.coalesce(F.sum(F.col("__own")[i]), F.lit(0.0)) for i in range(k)]).alias("__n")
     # Every other share is a sum over these groups.
     groups = checkpointed(scored.groupBy(*names).agg(sums))
@@ -217,7 +211,7 @@ def fused(
     seen = np.array([told[name] for name in model.languages]).reshape(-1, k)
     chances = np.log((seen + PRIOR_ROWS * own) / (np.array(rows) + PRIOR_ROWS))
 
-    evidence = _with_likelihood(keyed, model, text_col, chances).withColumn("__own", _soft(F.col("__ll")))
+    evidence = _with_likelihood(keyed, model, text_col, chances)
     prior = shares
     if domain_col:
         domains = checkpointed(groups.where("__domain is not null").groupBy("__domain").agg(resum.alias("__dn")))
@@ -236,10 +230,10 @@ def fused(
         score = F.coalesce(_added(score, ratio), score)
     score = _added(score, F.col("__told"))
 
-    evidence = evidence.withColumn("__score", score).withColumn("__chance", _soft(F.col("__score")))
-    best = F.array_position("__chance", F.array_max("__chance")).cast("int")
+    evidence = evidence.withColumn("__score", score).withColumn("__top", F.array_max("__score"))
+    best = F.array_position("__score", F.col("__top")).cast("int")
     language = F.element_at(F.array(*map(F.lit, classes)), best)
-    posterior = F.array_max("__chance")
+    posterior = 1 / F.aggregate("__score", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("__top")))
     return evidence.select(
         *[F.col(a).alias(name) for name, a in aside.items()], language.alias("__language"), posterior.alias("__posterior"),
         ((language != UNKNOWN) & (posterior >= least)).alias("__accepted"),
