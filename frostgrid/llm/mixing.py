@@ -189,7 +189,8 @@ def mix_sources(
     inside = F.least(F.col("start") + F.col("size"), (F.col("at") + 1) * block_words) - F.greatest(
         F.col("start"), F.col("at") * block_words
     )
-    joined = pieces.join(times, (F.col("of") == F.col("rank")) & (F.col("at") == F.col("block")))
+    # Both sides grow with the documents, so neither is to be broadcast, however few bytes it is shuffled in.
+    joined = pieces.join(times.hint("merge"), (F.col("of") == F.col("rank")) & (F.col("at") == F.col("block")))
     per_shard = joined.groupBy(F.col("of").alias("__rank"), F.col("start").alias("__start"), "shard").agg(
         F.sum(inside * F.col("times")).alias("words")
     )
@@ -199,7 +200,7 @@ def mix_sources(
     )
     same = (F.col("rank") == F.col("__rank")) & (F.col("start") == F.col("__start")) & (F.col("size") > 0)
     none = F.array().cast("array<struct<shard:bigint,words:bigint>>")
-    return rows.join(taken, same, "left").select(
+    return rows.join(taken.hint("merge"), same, "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"),
         F.coalesce("shards", none).alias("shards"),
     )
