@@ -303,15 +303,17 @@ def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.n
     are still equal. A class is sorted again only if its next words differ, so
     copies, which are most of what a dictionary shares, cost a comparison.
     """
-    word = data.astype(np.uint64)
-    for width in (1, 2, 4):
-        word = (word[:len(word) - width] << np.uint64(8 * width)) | word[width:]
+    # The eight bytes from each position on, as numbers in their order.
+    word = np.empty(max(len(data) - 7, 0), np.uint64)
+    for i in range(min(8, len(word))):
+        word[i::8] = data[i:i + 8 * len(word[i::8])].view(">u8")
     first = word[start]
-    order = np.argsort(first)
+    order = np.argsort(first).astype(start.dtype)
     first = first[order]
     new = np.ones(len(order), bool)
     new[1:] = first[1:] != first[:-1]
-    tied = np.arange(len(order))
+    del first
+    tied = np.arange(len(order), dtype=start.dtype)
     for depth in [*range(8, length - 8, 8), length - 8]:
         # Suffixes that are equal to a neighbour so far.
         alone = new[tied] & np.append(new[tied[1:]], True)
@@ -322,7 +324,7 @@ def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.n
         opens = new[tied]
         differs = np.zeros(len(tied), bool)
         differs[1:] = (here[1:] != here[:-1]) & ~opens[1:]
-        of = np.cumsum(opens) - 1
+        of = np.cumsum(opens, dtype=start.dtype) - 1
         unsettled = np.nonzero(np.bincount(of[differs], minlength=of[-1] + 1)[of])[0]
         if len(unsettled):
             again = unsettled[np.lexsort((here[unsettled], of[unsettled]))]
@@ -341,10 +343,13 @@ def first_documents(table: pa.Table, length: int) -> pa.Table:
     begin = np.cumsum(sizes) - sizes
     count = sizes - length + 1
     ends = np.cumsum(count)
-    start = np.repeat(begin - ends + count, count) + np.arange(ends[-1])
-    first = np.repeat(ids, count)
-
+    # Half the memory for positions, unless there are too many.
+    place = np.int32 if len(data) < 1 << 31 else np.int64
+    start = np.arange(ends[-1], dtype=place)
+    start += np.repeat((begin - ends + count).astype(place), count)
     suffixes, new = suffix_array(data, start, length)
+    del start
+    first = np.repeat(ids, count)
     at = np.nonzero(new)[0]
     least = np.minimum.reduceat(first[suffixes], at)
     first[suffixes] = np.repeat(least, np.diff(np.append(at, len(suffixes))))
