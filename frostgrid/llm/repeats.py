@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostgrid.llm.common import tasks
+from frostgrid.llm.common import give_back, tasks
 
 GRAM = 24
 BUCKET_BYTES = 4_000_000
@@ -296,6 +296,15 @@ def dictionary_of(phrases: Phrases, bucket: int, shards: int, repeated: pa.Table
     ])
 
 
+def _words_at(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The eight bytes from each of the positions on, as numbers in their order."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    # A view of all positions, which takes no memory; phrases have several bytes for each suffix.
+    every = np.lib.stride_tricks.as_strided(data[:8].view(np.uint64), (len(data) - 7,), (1,), writeable=False)
+    return every[start].byteswap(inplace=True)
+
+
 def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at ``start`` in the order of their first ``length`` bytes, and which of them differ from the one before.
 
@@ -303,11 +312,7 @@ def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.n
     are still equal. A class is sorted again only if its next words differ, so
     copies, which are most of what a dictionary shares, cost a comparison.
     """
-    # The eight bytes from each position on, as numbers in their order.
-    word = np.empty(max(len(data) - 7, 0), np.uint64)
-    for i in range(min(8, len(word))):
-        word[i::8] = data[i:i + 8 * len(word[i::8])].view(">u8")
-    first = word[start]
+    first = _words_at(data, start)
     order = np.argsort(first).astype(start.dtype)
     first = first[order]
     new = np.ones(len(order), bool)
@@ -320,7 +325,7 @@ def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.n
         tied = tied[~alone]
         if not len(tied):
             break
-        here = word[start[order[tied]] + depth]
+        here = _words_at(data, start[order[tied]] + depth)
         opens = new[tied]
         differs = np.zeros(len(tied), bool)
         differs[1:] = (here[1:] != here[:-1]) & ~opens[1:]
@@ -349,10 +354,14 @@ def first_documents(table: pa.Table, length: int) -> pa.Table:
     start += np.repeat((begin - ends + count).astype(place), count)
     suffixes, new = suffix_array(data, start, length)
     del start
-    first = np.repeat(ids, count)
+    # Documents by rank, in half the memory of their ids.
+    known, rank = np.unique(ids, return_inverse=True)
+    first = np.repeat(rank.astype(place), count)
     at = np.nonzero(new)[0]
+    del new
     least = np.minimum.reduceat(first[suffixes], at)
-    first[suffixes] = np.repeat(least, np.diff(np.append(at, len(suffixes))))
+    first[suffixes] = np.repeat(least, np.diff(at, append=len(suffixes)))
+    del suffixes, least, at
 
     change = np.ones(len(first), bool)
     change[1:] = first[1:] != first[:-1]
@@ -368,7 +377,7 @@ def first_documents(table: pa.Table, length: int) -> pa.Table:
         n = int(runs[a:b].sum())
         rows.append((
             bucket, packed, _packed(runs[a:b].astype("<u2")), _packed(windows[r:r + n].astype("<u2")),
-            _packed(first[run[r:r + n]]), _packed(cut[a:b].astype(np.uint8)), origins,
+            _packed(known[first[run[r:r + n]]]), _packed(cut[a:b].astype(np.uint8)), origins,
         ))
         a, r = b, r + n
     return _rows(FOUND, rows)
@@ -449,7 +458,9 @@ def remove_repeats(
         return table.column("bucket")[0].as_py()
 
     def send_triggers(table: pa.Table) -> pa.Table:
-        return triggers_of(Phrases(table, length), bucket_of(table), shards)
+        sent = triggers_of(Phrases(table, length), bucket_of(table), shards)
+        give_back()
+        return sent
 
     def answer_triggers(table: pa.Table) -> pa.Table:
         return repeated_triggers(table, crowded)
@@ -457,10 +468,14 @@ def remove_repeats(
     def send_dictionary(table: pa.Table, repeated: pa.Table) -> pa.Table:
         if not len(table) or not len(repeated):
             return _rows(DICTIONARY, [])
-        return dictionary_of(Phrases(table, length), bucket_of(table), shards, repeated)
+        sent = dictionary_of(Phrases(table, length), bucket_of(table), shards, repeated)
+        give_back()
+        return sent
 
     def answer_dictionary(table: pa.Table) -> pa.Table:
-        return first_documents(table, length)
+        found = first_documents(table, length)
+        give_back()
+        return found
 
     kept_fields = [f for f in slim.schema.fields if f.name.startswith("__keep_")]
 
@@ -480,6 +495,8 @@ def remove_repeats(
                 else:
                     spans.append([])
                     kept.append(phrases.data[a:b].tobytes())
+            del phrases, gone
+            give_back()
         if as_text:
             texts = kept.to_pylist() if isinstance(kept, pa.ChunkedArray) else kept
             kept = pa.array([t.decode("utf-8", "ignore") for t in texts], pa.string())
