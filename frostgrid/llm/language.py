@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from frostgrid.llm.common import checkpointed, join_lookup
+from frostgrid.llm.common import checkpointed, give_back, join_lookup
 
 SAMPLE_ROWS = 4000
 FEATURES = 1 << 13
@@ -130,6 +130,7 @@ def _with_likelihood(docs: DataFrame, model: TextModel, text_col: str, told: np.
                 tags = batch.column(declared).to_pylist()
                 columns.append(pa.array([told[row_of[t]] if t in row_of else silent for t in tags], pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
+        give_back()
 
     return docs.mapInArrow(score, schema)
 
