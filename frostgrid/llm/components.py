@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from frostgrid.llm.common import checkpointed
 
 
+# Links that one task takes at least. Each step is several shuffles, whose files and tasks would else outnumber few links.
+TASK_LINKS = 100_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """The component of every node that occurs in ``links``.
 
@@ -25,11 +29,13 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    parts = max(-(-edges.count() // TASK_LINKS), 1)
+    edges = edges.coalesce(parts)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        edges = _to_smallest(both, both.where(F.col("v") > F.col("u")))
-        edges = checkpointed(_to_smallest(edges, edges))
+        edges = _to_smallest(both, both.where(F.col("v") > F.col("u")), parts)
+        edges = checkpointed(_to_smallest(edges, edges, parts))
         # A star forest is a fixed point, and only a star forest is one.
         state = edges.agg(
             F.count(F.lit(1)).alias("n"),
@@ -42,9 +48,9 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _to_smallest(neighbours: DataFrame, moved: DataFrame) -> DataFrame:
-    """Link each node, and of its neighbours those in ``moved``, to the smallest of node and neighbours."""
+def _to_smallest(neighbours: DataFrame, moved: DataFrame, parts: int) -> DataFrame:
+    """Link each node, and of its neighbours those in ``moved``, to the smallest of node and neighbours, in ``parts`` partitions."""
     least = neighbours.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     links = moved.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = least.select("u", F.col("m").alias("v"))
-    return links.unionByName(own).where(F.col("u") != F.col("v")).distinct()
+    return links.unionByName(own).where(F.col("u") != F.col("v")).coalesce(parts).distinct().coalesce(parts)
