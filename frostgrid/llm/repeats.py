@@ -89,6 +89,28 @@ class Phrases:
         self.length = length
         self._parse()
 
+    def _chunks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of some ``CHUNK`` bytes that hold whole documents, or a part of one that is longer.
+
+        Where a phrase is cut depends on its document alone. The rows of a bucket come in
+        another order each time they are read, and each reading must find the same phrases.
+        """
+        at = 0
+        for begin, end in zip(self.begins.tolist(), self.ends.tolist()):
+            if end - at > CHUNK:
+                if begin > at:
+                    yield at, begin
+                at = begin
+            while end - at > CHUNK:
+                yield at, at + CHUNK
+                at += CHUNK
+            # What is left of a document that was cut stands alone.
+            if at > begin:
+                yield at, end
+                at = end
+        if len(self.data) > at:
+            yield at, len(self.data)
+
     def _parse(self) -> None:
         n, length = len(self.data), self.length
         valid = np.ones(n, bool)
@@ -96,8 +118,10 @@ class Phrases:
             valid[max(end - length + 1, begin):end] = False
         span = length - GRAM + 1
         parts: list[tuple[np.ndarray, ...]] = []
-        for at in range(0, max(n - length + 1, 0), CHUNK):
-            hashes = rolling_hash(self.data[at:at + CHUNK + length - 1], GRAM)
+        for at, end in self._chunks():
+            if min(end + length - 1, n) - at < length:
+                continue
+            hashes = rolling_hash(self.data[at:end + length - 1], GRAM)
             low = np.uint64((1 << 16) - 1)
             least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
             width = 1

@@ -67,6 +67,22 @@ def test_phrases_hold_each_window_once_and_agree(monkeypatch):
                 assert trigger.setdefault(bytes(p.data[at:at + 50]), t) == t
 
 
+def test_phrases_do_not_depend_on_the_order_of_rows():
+    """The rows of a bucket come in another order whenever executors fetch them anew."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcd ef") for _ in range(rng.choice([30, 900, 4000, 40000])))) for i in range(40)]
+
+    def phrases(rows):
+        table = pa.table({"__id": pa.array([i for i, _ in rows], pa.int64()), "__text": [t.encode() for _, t in rows]})
+        p = Phrases(table, 50)
+        return sorted(zip(p.ids[p.doc].tolist(), (p.first - p.begins[p.doc]).tolist(), p.key.tolist()))
+
+    wanted = phrases(rows)
+    for _ in range(3):
+        rng.shuffle(rows)
+        assert phrases(rows) == wanted
+
+
 PASSAGE = "The quick brown fox jumps over the lazy dog, and then it does so once more. "
 ODD = [
     (5, None), (4, ""), (3, "short"), (2, PASSAGE), (7, PASSAGE), (7, PASSAGE), (6, "x" + PASSAGE[5:60] + "y"),
