@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     node to itself are left out. Returns ``node`` and ``root``, the smallest
     node of its component; no links give no rows.
 
-    Large-star and small-star steps alternate until nothing changes, about the
+    Large-star and small-star steps alternate until all links lead to roots, about the
     logarithm of the longest path in number. Each step takes a minimum per
     node, combined before the shuffle, and joins it back, so the neighbours of
     a node never meet in one task's memory. Every step is checkpointed.
@@ -31,21 +31,23 @@ def components(links: DataFrame) -> DataFrame:
     )
     parts = max(-(-edges.count() // TASK_LINKS), 1)
     edges = edges.coalesce(parts)
-    before = None
-    while True:
+    while not _is_star_forest(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         edges = _to_smallest(both, both.where(F.col("v") > F.col("u")), parts)
         edges = checkpointed(_to_smallest(edges, edges, parts))
-        # A star forest is a fixed point, and only a star forest is one.
-        state = edges.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-        ).collect()[0]
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v`` and no ``v`` is a ``u``: what the steps leave as it is, and all they leave so."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below")).distinct()
+    )
+    # A root has one row, as has a node below a single root.
+    counts = ends.groupBy("node").agg(F.sum("below").alias("below"), F.count("*").alias("rows"))
+    return counts.where("below > 0 and rows > 1").isEmpty()
 
 
 def _to_smallest(neighbours: DataFrame, moved: DataFrame, parts: int) -> DataFrame:

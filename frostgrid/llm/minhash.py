@@ -1,4 +1,4 @@
-"""Documents whose sets of word shingles are alike, by MinHash bands, rare shingles and exact confirmation."""
+"""Documents whose sets of word shingles are alike, by SimHash fingerprints, MinHash bands and exact confirmation."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from frostgrid.llm.common import checkpointed, give_back, join_classes, join_lookup
 from frostgrid.llm.components import components
+from frostgrid.llm.simhash import majority, near_links
 
 SEED = 42
 # A pair of similarity 0.8 shares a band with a probability of 1 - (1 - 0.8 ** 5) ** 20 = 0.9996.
@@ -60,6 +61,11 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def fingerprint_key(fp: int) -> int:
+    """The bucket of a fingerprint, beside those of the bands."""
+    return int(np.uint64(xxhash.xxh64_intdigest(fp.to_bytes(8, "little"), BANDS)).astype(np.int64))
+
+
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     """For each of 64 ``SKETCH_WORDS`` bits whether an odd number of the hashes falls on it.
 
@@ -202,7 +208,7 @@ def rare_pairs(crowd: DataFrame, whole: DataFrame, shingle: int, least: float) -
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, reach: int = 4
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``text_hash`` (xxhash64), ``root`` and ``component_id``.
 
@@ -213,12 +219,14 @@ def similar_groups(
     ASCII parts, with A-Z in lower case. Texts without words are alike. Ids that
     are null never become a component's id. Repeated rows stay.
 
-    Documents with one set of shingles form a class, looked at once. Classes
-    meet in the buckets of 20 MinHash bands, and each pair is confirmed on the
+    Documents with one set of shingles form a class, looked at once. Classes whose SimHash
+    fingerprints are linked by the vantage-point tree of :func:`near_links` are compared. As
+    sets that are 0.8 alike differ in some 9 bits, where no tree prunes, classes also
+    meet in the buckets of 20 MinHash bands, and of one fingerprint. Each pair is confirmed on the
     whole texts of one document of either, so no link is wrong; a pair at 0.8
     meets with a probability of 0.9996, one more alike with a higher one.
 
-    A first pass looks at neighbours in each bucket only, about one pair for each member,
+    A first pass looks at the tree's links and at neighbours in each bucket only, about one pair for each member,
     which is enough where copies crowd. In a second pass every other
     two members of a bucket are compared, unless the first has put them in one component;
     where more than ``FEW_ROWS`` meet, by :func:`rare_pairs`, which misses none.
@@ -230,25 +238,27 @@ def similar_groups(
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, fps = [], [], []
             for x in batch.column(1):
                 hashes = shingles(_bytes(x), shingle)
                 keys.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-                bands.append(band_keys(hashes))
+                fps.append(majority(hashes))
+                bands.append([*band_keys(hashes), fingerprint_key(fps[-1])])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.array(keys, np.uint64).view(np.int64)),
-                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "key", "bands"],
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                ["doc_id", "text_hash", "key", "bands", "fp"],
             )
         give_back()
 
     of_docs = checkpointed(
-        texts.mapInArrow(described, "doc_id bigint, text_hash bigint, key bigint, bands array<bigint>")
+        texts.mapInArrow(described, "doc_id bigint, text_hash bigint, key bigint, bands array<bigint>, fp bigint")
     )
-    # All rows of a class have the same bands.
+    # All rows of a class have the same bands and fingerprint.
     classes = checkpointed(
         of_docs.groupBy("key").agg(
             F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"),
-            F.any_value("bands").alias("bands"), F.count("*").alias("n"),
+            F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp"), F.count("*").alias("n"),
         )
     )
     members = classes.select("key", F.explode("bands").alias("band"))
@@ -258,9 +268,15 @@ def similar_groups(
     following = F.expr("transform(slice(keys, 2, size(keys)), (y, i) -> struct(keys[i].key as a, y.key as b))")
     chained = slices.select(F.explode(following).alias("pair")).select("pair.a", "pair.b")
     to_least = slices.select(F.col("least").alias("a"), F.expr("keys[0].key").alias("b")).where("a <> b")
-    pairs = checkpointed(chained.unionByName(to_least).distinct())
-
-    wanted = dealt.select("key").distinct().join(classes.select("key", "text_hash"), "key")
+    # Classes of one fingerprint share a bucket, so one stands for all of them.
+    of_fp = classes.groupBy("fp").agg(F.min("key").alias("key"))
+    ends = [of_fp.select(F.col("fp").alias(f"fp_{x}"), F.col("key").alias(x)) for x in ("a", "b")]
+    near = near_links(of_fp.select("fp"), reach).toDF("fp_a", "fp_b")
+    near = near.join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b")
+    pairs = checkpointed(chained.unionByName(to_least).unionByName(near).distinct())
+
+    seen = dealt.select("key").union(pairs.select("a")).union(pairs.select("b"))
+    wanted = seen.distinct().join(classes.select("key", "text_hash"), "key")
     # Copies of a text are one before they are dealt out.
     once = texts.groupBy("text_hash").agg(F.any_value("text").alias("text"))
     whole = checkpointed(wanted.join(once, "text_hash").select("key", "text"))
@@ -288,5 +304,5 @@ def similar_groups(
     ids = classes.select("key", "first_id", "n").join(moved, "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), F.coalesce("smallest", "first_id").alias("component_id"), "n"
     )
-    joined = join_classes(of_docs.drop("bands"), ids, "key", F.struct("doc_id", "text_hash"), "inner")
+    joined = join_classes(of_docs.drop("bands", "fp"), ids, "key", F.struct("doc_id", "text_hash"), "inner")
     return joined.select("doc_id", "text_hash", "root", "component_id")

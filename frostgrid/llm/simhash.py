@@ -41,12 +41,16 @@ def fingerprint(text: bytes | None, words_per_shingle: int = 4) -> int:
     n = max(len(words) - words_per_shingle + 1, 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[len(ends) - n:].tolist())
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set where more than half of the hashes have them set, 0 of none."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 8192):
+    for at in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[at:at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:

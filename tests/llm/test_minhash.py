@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline as pipeline
 from frostgrid.llm import minhash
 from frostgrid.llm.minhash import parity_sketch, shingles, similar_groups, similarity
+from frostgrid.llm.simhash import majority
 from frostgrid.sources import read_table
 from tests.llm.test_simhash import plain_roots
 
@@ -116,6 +117,29 @@ def test_few_links_are_handed_to_components(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and max(seen) < 6 * len(rows)
 
 
+def test_links_of_fingerprints_alone_are_enough(spark, monkeypatch):
+    """Near copies that meet in no band are found by the tree over their fingerprints."""
+    rng = random.Random(12)
+    rows = [(2 * i + k, t) for i in range(30) for k, t in enumerate(one_word_changed(rng, 1500, 1))]
+    monkeypatch.setattr(minhash, "band_keys", lambda hashes: [hash((hashes.tobytes(), b)) for b in range(20)])
+    sets = [shingles(t.encode()) for _, t in rows]
+    near = [(int(a) ^ int(b)).bit_count() <= 4 for a, b in zip(*[iter(map(majority, sets))] * 2)]
+    assert sum(near) > 20
+    got = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[2 * i + 1] == 2 * i for i in range(30) if near[i])
+
+
+def test_stage_deals_texts_out_once_unless_ids_repeat(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(2 * i + k, t) for i in range(5) for k, t in enumerate(one_word_changed(rng, 100, 1))]
+    for name, more in (("single", []), ("repeated", rows[:1])):
+        spark.createDataFrame(rows + more, SCHEMA).write.parquet(f"{tmp_path}/{name}")
+        left = pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/{name}"), "")
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parquet") == (1 if name == "single" else 2)
+        assert sorted(r.doc_id for r in left.collect()) == [0, 2, 4, 6, 8]
+
+
 def test_stage_drops_a_document_with_one_changed_word(spark):
     rng = random.Random(1)
     rows = [(2 * i + k, t, "en", "a", 1) for i in range(50) for k, t in enumerate(one_word_changed(rng, 100, 1))]
