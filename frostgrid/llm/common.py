@@ -38,6 +38,19 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Rows of a few numbers that one task takes at least.
+TASK_ROWS = 100_000
+
+
+def enough_tasks(rows: int | None) -> int:
+    """Tasks for a step on so many short rows, to ``coalesce`` to.
+
+    A step of a shuffle writes files for each task, and tasks in proportion to
+    the session's partitions would outweigh few rows. None counts as no rows.
+    """
+    return max(-(-(rows or 0) // TASK_ROWS), 1)
+
+
 def give_back() -> None:
     """Return freed memory to the system.
 

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostgrid.llm.common import checkpointed
-
-
-# Links that one task takes at least. Each step is several shuffles, whose files and tasks would else outnumber few links.
-TASK_LINKS = 100_000
+from frostgrid.llm.common import checkpointed, enough_tasks
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -29,9 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    parts = max(-(-edges.count() // TASK_LINKS), 1)
+    parts = enough_tasks(edges.count())
     edges = edges.coalesce(parts)
-    while not _is_star_forest(edges):
+    while not _is_star_forest(edges, parts):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         edges = _to_smallest(both, both.where(F.col("v") > F.col("u")), parts)
         edges = checkpointed(_to_smallest(edges, edges, parts))
@@ -40,14 +36,14 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
+def _is_star_forest(edges: DataFrame, parts: int) -> bool:
     """Whether every ``u`` has one ``v`` and no ``v`` is a ``u``: what the steps leave as it is, and all they leave so."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(
-        edges.select(F.col("v").alias("node"), F.lit(0).alias("below")).distinct()
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below")).distinct().coalesce(parts)
     )
     # A root has one row, as has a node below a single root.
     counts = ends.groupBy("node").agg(F.sum("below").alias("below"), F.count("*").alias("rows"))
-    return counts.where("below > 0 and rows > 1").isEmpty()
+    return counts.where("below > 0 and rows > 1").coalesce(parts).isEmpty()
 
 
 def _to_smallest(neighbours: DataFrame, moved: DataFrame, parts: int) -> DataFrame:

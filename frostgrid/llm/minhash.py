@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostgrid.llm.common import checkpointed, give_back, join_classes, join_lookup
+from frostgrid.llm.common import checkpointed, enough_tasks, give_back, join_classes, join_lookup
 from frostgrid.llm.components import components
 from frostgrid.llm.simhash import majority, near_links
 
@@ -175,9 +175,13 @@ def rare_pairs(crowd: DataFrame, whole: DataFrame, shingle: int, least: float) -
 
     texts = whole.join(crowd.select("key"), "key").select("key", "text")
     spelled = checkpointed(texts.mapInArrow(spelt, "key bigint, shingles array<bigint>, sketch array<bigint>"))
+    parts = enough_tasks(spelled.agg(F.sum(F.size("shingles"))).collect()[0][0])
+    spelled = spelled.coalesce(parts)
     postings = spelled.select("key", F.explode("shingles").alias("shingle"))
     common = postings.groupBy("shingle").agg(F.count("*").alias("rows")).where(F.col("rows") > RARE_ROWS)
-    counted = join_lookup(postings, common, "shingle", F.col("key"))
+    # Read for their size too.
+    common = checkpointed(common.coalesce(parts))
+    counted = join_lookup(postings, common, "shingle", F.col("key")).coalesce(parts)
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "shingle"))).alias("order")
     early = lambda part: f"size(order) - cast(ceil({part} * size(order) - 1e-6) as int)"
     firsts = F.posexplode(F.expr(f"slice(order, 1, {early(least)} + 1)")).alias("at", "first")
@@ -185,13 +189,14 @@ def rare_pairs(crowd: DataFrame, whole: DataFrame, shingle: int, least: float) -
     leading = ordered.select("key", F.size("order").alias("size"), "early", firsts).select(
         "key", "size", "at", (F.col("at") <= F.col("early")).alias("early"), F.col("first.shingle").alias("shingle")
     ).join(crowd, "key")
+    leading = checkpointed(leading.coalesce(parts))
     lists = leading.groupBy("shingle").agg(
         F.count("*").alias("n"), F.min("key").alias("least"), F.min("comp").alias("c"), F.max("comp").alias("d"),
         F.bool_or("early").alias("some"),
     ).where("n > 1 and c < d and some").drop("c", "d", "some")
-    listed = join_classes(leading, lists, "shingle", F.col("key"), "inner")
-    listed = listed.join(spelled.select("key", "sketch"), "key")
-    slices = checkpointed(_sliced(listed, "shingle", "size", "at", "early", "comp", "sketch"))
+    listed = join_classes(leading, lists, "shingle", F.col("key"), "inner").coalesce(parts)
+    listed = listed.join(spelled.select("key", "sketch"), "key").coalesce(parts)
+    slices = checkpointed(_sliced(listed, "shingle", "size", "at", "early", "comp", "sketch").coalesce(parts))
     differing = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_WORDS))
     alike = f"""
         x.comp <> y.comp and least(x.size, y.size) >= {least} * greatest(x.size, y.size) - 1e-6
@@ -254,8 +259,15 @@ def similar_groups(
     of_docs = checkpointed(
         texts.mapInArrow(described, "doc_id bigint, text_hash bigint, key bigint, bands array<bigint>, fp bigint")
     )
+    # Members of buckets are the most rows that a step reads.
+    parts = enough_tasks((BANDS + 1) * of_docs.count())
+    of_docs = of_docs.coalesce(parts)
+
+    def kept(df: DataFrame) -> DataFrame:
+        return checkpointed(df.coalesce(parts))
+
     # All rows of a class have the same bands and fingerprint.
-    classes = checkpointed(
+    classes = kept(
         of_docs.groupBy("key").agg(
             F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"),
             F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp"), F.count("*").alias("n"),
@@ -263,46 +275,46 @@ def similar_groups(
     )
     members = classes.select("key", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
-    dealt = checkpointed(join_classes(members, shared, "band", F.col("key"), "inner"))
-    slices = _sliced(dealt, "band")
+    dealt = kept(join_classes(members, shared, "band", F.col("key"), "inner"))
+    slices = _sliced(dealt, "band").coalesce(parts)
     following = F.expr("transform(slice(keys, 2, size(keys)), (y, i) -> struct(keys[i].key as a, y.key as b))")
     chained = slices.select(F.explode(following).alias("pair")).select("pair.a", "pair.b")
     to_least = slices.select(F.col("least").alias("a"), F.expr("keys[0].key").alias("b")).where("a <> b")
     # Classes of one fingerprint share a bucket, so one stands for all of them.
-    of_fp = classes.groupBy("fp").agg(F.min("key").alias("key"))
+    of_fp = kept(classes.groupBy("fp").agg(F.min("key").alias("key")))
     ends = [of_fp.select(F.col("fp").alias(f"fp_{x}"), F.col("key").alias(x)) for x in ("a", "b")]
-    near = near_links(of_fp.select("fp"), reach).toDF("fp_a", "fp_b")
-    near = near.join(ends[0], "fp_a").join(ends[1], "fp_b").select("a", "b")
-    pairs = checkpointed(chained.unionByName(to_least).unionByName(near).distinct())
+    near = near_links(of_fp.select("fp"), reach).toDF("fp_a", "fp_b").coalesce(parts)
+    near = near.join(ends[0], "fp_a").coalesce(parts).join(ends[1], "fp_b").select("a", "b").coalesce(parts)
+    pairs = kept(chained.unionByName(to_least).unionByName(near).distinct())
 
     seen = dealt.select("key").union(pairs.select("a")).union(pairs.select("b"))
-    wanted = seen.distinct().join(classes.select("key", "text_hash"), "key")
+    wanted = seen.distinct().join(classes.select("key", "text_hash"), "key").coalesce(parts)
     # Copies of a text are one before they are dealt out.
     once = texts.groupBy("text_hash").agg(F.any_value("text").alias("text"))
     whole = checkpointed(wanted.join(once, "text_hash").select("key", "text"))
-    first = checkpointed(components(_confirmed(pairs, whole, shingle, least)))
+    first = kept(components(_confirmed(pairs, whole, shingle, least)))
 
     comp = first.select(F.col("node").alias("key"), F.col("root").alias("comp"))
-    placed = dealt.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    placed = kept(dealt.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key")))
     mixed = placed.groupBy("band").agg(
         F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d")
     ).where("n > 2 and c < d").drop("c", "d")
-    open_buckets = checkpointed(join_classes(placed.drop("n"), mixed, "band", F.col("key"), "inner"))
-    few = _sliced(open_buckets.where(F.col("n") <= FEW_ROWS), "band", "comp")
-    crowd = checkpointed(open_buckets.where(F.col("n") > FEW_ROWS).select("key", "comp").distinct())
+    open_buckets = kept(join_classes(placed.drop("n"), mixed, "band", F.col("key"), "inner"))
+    few = _sliced(open_buckets.where(F.col("n") <= FEW_ROWS), "band", "comp").coalesce(parts)
+    crowd = kept(open_buckets.where(F.col("n") > FEW_ROWS).select("key", "comp").distinct())
     more = _apart(few, _AFTER, "x.comp <> y.comp")
     if not crowd.isEmpty():
         more = more.unionByName(rare_pairs(crowd, whole, shingle, least))
-    left = checkpointed(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    left = left.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    left = kept(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = left.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").coalesce(parts)
     forest = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = components(forest.unionByName(_confirmed(left, whole, shingle, least)))
 
-    known = found.join(classes.select(F.col("key").alias("node"), "first_id"), "node")
+    known = kept(found.join(classes.select(F.col("key").alias("node"), "first_id"), "node"))
     smallest = known.groupBy("root").agg(F.min("first_id").alias("smallest"))
     moved = join_lookup(known, smallest, "root", F.col("node")).select(F.col("node").alias("key"), "root", "smallest")
-    ids = classes.select("key", "first_id", "n").join(moved, "key", "left").select(
+    ids = kept(classes.select("key", "first_id", "n").join(moved, "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), F.coalesce("smallest", "first_id").alias("component_id"), "n"
-    )
+    ))
     joined = join_classes(of_docs.drop("bands", "fp"), ids, "key", F.struct("doc_id", "text_hash"), "inner")
-    return joined.select("doc_id", "text_hash", "root", "component_id")
+    return joined.select("doc_id", "text_hash", "root", "component_id").coalesce(parts)

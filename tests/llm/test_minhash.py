@@ -117,6 +117,29 @@ def test_few_links_are_handed_to_components(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and max(seen) < 6 * len(rows)
 
 
+def test_steps_on_few_rows_leave_few_files(spark, tmp_path):
+    """Steps take tasks by their rows, also where the session has many partitions and merges none."""
+    rng = random.Random(14)
+    rows = crowd(60, 10) + [(1000 + 2 * i + k, t) for i in range(20) for k, t in enumerate(one_word_changed(rng, 100, 1))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    many = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in many}
+    try:
+        for name, value in many.items():
+            spark.conf.set(name, value)
+        spark.sparkContext.setJobGroup("few rows", "")
+        got = similar_groups(docs).select("doc_id", "component_id").collect()
+        told = spark.sparkContext.statusTracker()
+        stages = {s for j in told.getJobIdsForGroup("few rows") for s in told.getJobInfo(j).stageIds}
+        ran = [info.numCompletedTasks for info in map(told.getStageInfo, stages) if info]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted((tuple(r) for r in got), key=repr) == by_brute_force(rows)
+    assert len(ran) > 20 and sum(n >= 40 for n in ran) < len(ran) / 4
+
+
 def test_links_of_fingerprints_alone_are_enough(spark, monkeypatch):
     """Near copies that meet in no band are found by the tree over their fingerprints."""
     rng = random.Random(12)
