@@ -17,6 +17,7 @@ from frostgrid.operators import (
     threshold_spells,
     top_k,
 )
+from frostgrid.operators.ranges import points_in_ranges
 
 ROWS = 200_000
 HOT = 10_000
@@ -117,3 +118,16 @@ def test_overlap_join_does_not_compare_all_rows_of_a_key(spark, readings):
     expected = others.count()
     assert pairs.where("id = id_right").count() == expected
     assert pairs.count() < ROWS * 3
+
+
+def test_ranges_of_many_points_are_few_rows(spark):
+    """A thousand ranges of 20,000 points each: what is shuffled grows with the rows, not with the pairs."""
+    width = F.lit(30_000).alias("__width")
+    points = spark.range(20_000).select(F.lit(1).alias("key"), F.col("id").alias("__point"), width)
+    ranges = spark.range(1_000).select(
+        F.lit(1).alias("key"), (-F.col("id")).alias("__from"), (F.col("id") + 20_000).alias("__to"), width
+    )
+    done = {s.stageId() for s in stages(spark.sparkContext)[1]}
+    assert points_in_ranges(points, ranges, ["key"], 1_000_000).count() == 20_000_000
+    now = [s for s in stages(spark.sparkContext)[1] if s.stageId() not in done]
+    assert sum(s.shuffleWriteRecords() for s in now) < 300_000
