@@ -17,6 +17,7 @@ from frostgrid.operators import (
     threshold_spells,
     top_k,
 )
+from frostgrid.operators import ranges as ranges_module
 from frostgrid.operators.ranges import points_in_ranges
 
 ROWS = 200_000
@@ -131,3 +132,17 @@ def test_ranges_of_many_points_are_few_rows(spark):
     assert points_in_ranges(points, ranges, ["key"], 1_000_000).count() == 20_000_000
     now = [s for s in stages(spark.sparkContext)[1] if s.stageId() not in done]
     assert sum(s.shuffleWriteRecords() for s in now) < 300_000
+
+
+def test_points_of_one_position_go_to_many_tasks(spark, monkeypatch):
+    """All points stand at one position and all ranges hold it: a task has a block's pairs, not the position's."""
+    monkeypatch.setattr(ranges_module, "PAIRS_PER_TASK", 50_000)
+    width = F.lit(10).alias("__width")
+    points = spark.range(5_000).select(F.lit(1).alias("key"), "id", F.lit(5).cast("bigint").alias("__point"), width)
+    ranges = spark.range(200).select(
+        F.lit(1).alias("key"), F.col("id").alias("range"), (-F.col("id")).alias("__from"), F.lit(6).cast("bigint").alias("__to"), width
+    )
+    pairs = points_in_ranges(points, ranges, ["key"], 1_000_000)
+    tasks = pairs.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)), F.countDistinct("range", "id")).collect()
+    assert sum(t[1] for t in tasks) == sum(t[2] for t in tasks) == 1_000_000
+    assert max(t[1] for t in tasks) < 700_000
